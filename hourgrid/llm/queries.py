@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hourgrid.llm.decontam import find_overlaps
 from hourgrid.llm.line_dedup import dedup_lines
 from hourgrid.llm.mixing import mix_sources
+from hourgrid.llm.simhash import near_duplicates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,13 +28,18 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("__print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), (3.0, 1.0, 2.0))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op7_line_dedup, op10_source_mixing)}
+    return {f.__name__: f for f in (op2_decontamination, op7_line_dedup, op8_simhash_near_dedup, op10_source_mixing)}
 
 
 OP7_SQL = r"""
