@@ -40,9 +40,29 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def _plain(col: Column) -> Column:
+    return F.octet_length(col) == F.char_length(col)
+
+
+def lower_word(word: Column) -> Column:
+    """A-Z to a-z in one word; other characters stay."""
+    return F.when(_plain(word), F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
+
+
 def ascii_lower(col: Column) -> Column:
-    """A-Z to a-z; other characters stay."""
-    return F.translate(col, UPPER, LOWER)
+    """A-Z to a-z; other characters stay. Only words with characters beyond ASCII take the
+    slower way through ``translate``."""
+    words = F.transform(F.split(col, " ", -1), lower_word)
+    return F.when(_plain(col), F.lower(col)).otherwise(F.array_join(words, " "))
+
+
+def blank_words(text: Column) -> Column:
+    """The runs of characters other than space and U+0009 to U+000D; null has none. A split
+    at a plain space needs no regular expression."""
+    text = F.coalesce(text, F.lit(""))
+    for c in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.filter(F.split(text, " ", -1), lambda w: w != "")
 
 
 def row_key(*cols: Column) -> Column:

@@ -7,22 +7,41 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hourgrid.llm.audio import decode_media, encode_texts
 from hourgrid.llm.decontam import find_overlaps
 from hourgrid.llm.line_dedup import dedup_lines
 from hourgrid.llm.mixing import mix_sources
+from hourgrid.llm.quality import fit_quality, resample
 from hourgrid.llm.simhash import near_duplicates
+from hourgrid.llm.tokens import apply_edits, build_trees
+from hourgrid.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_overlaps(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ","), 256)
     return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample(docs, fit_quality(docs, _table(spark, sf_dir, "labels"))).select("doc_id", "log_weight", "noisy_weight", "selected")
+
+
+def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return decode_media(media).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -33,13 +52,25 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("__print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_edit_aware_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document before and after two edits: its first line gives way to the name of
+    its source, and its language is added at its end."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    change = lambda start, length, text: F.struct(start.cast("int").alias("start"), length.cast("int").alias("length"), text.alias("text"))
+    n = F.coalesce(F.char_length("text"), F.lit(0))
+    line = F.coalesce(F.char_length(F.substring_index("text", "\n", 1)), F.lit(0))
+    edits = F.array(change(F.lit(0), line, F.col("source")), change(n, F.lit(0), F.concat(F.lit("\n"), F.col("lang"))))
+    done = apply_edits(build_trees(docs.select("doc_id", "text", edits.alias("edits"))))
+    return done.select("doc_id", "n_before", F.col("n_tokens").alias("n_after"), F.size("lens").cast("long").alias("n_leaves"), "n_encoded")
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), (3.0, 1.0, 2.0))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op7_line_dedup, op8_simhash_near_dedup, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_quality_resampling, op4_telephony_audio, op7_line_dedup, op8_simhash_near_dedup, op9_edit_aware_token_counts, op10_source_mixing)}
 
 
 OP7_SQL = r"""
@@ -78,12 +109,11 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-    md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(md5(text), '')) AS h, coalesce(md5(text), '') AS m, length(text) AS n,
-    length(text) - length(translate(text, '!"#$%&*+/<=>@[\]^_`{|}~', '')) AS odd
+    md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(md5(text), '')) AS h, coalesce(md5(text), '') AS m, length(text) AS n
   FROM documents
 ), k AS (
   SELECT *, ln(-ln((('0x' || substr(h, 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE))
-    - ln(CASE WHEN n > 0 THEN greatest((1.0::DOUBLE - odd / n::DOUBLE) * (1.0::DOUBLE - odd / n::DOUBLE), 0.1::DOUBLE) ELSE 0.1::DOUBLE END) AS key FROM d
+    - ln(CASE WHEN size > 0 THEN greatest(1.0::DOUBLE / (1.0::DOUBLE + abs(n::DOUBLE / size::DOUBLE - 6.0::DOUBLE) / 6.0::DOUBLE), 0.1::DOUBLE) ELSE 0.1::DOUBLE END) AS key FROM d
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, [3.0::DOUBLE, 1, 2][((row_number() OVER (ORDER BY source COLLATE "C" ASC NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY source
 ), f AS (

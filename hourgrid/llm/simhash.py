@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import ascii_lower, materialise, row_key
+from hourgrid.llm.common import blank_words, lower_word, materialise, row_key
 from hourgrid.llm.components import components
 
 #: A fingerprint is rotated by these numbers of bits. If two differ in two bits or fewer,
@@ -26,8 +26,7 @@ def shingle_hashes(text: str, n: int = 3):
 
     ``text`` names a column of arrays of words."""
     w = F.col(text)
-    at = lambda i: F.element_at(w, i)
-    long = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.concat_ws(" ", *[at(i + j) for j in range(n)])))
+    long = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " ")))
     return F.when(F.size(w) >= n, long).when(F.size(w) > 0, F.array(F.xxhash64(F.array_join(w, " ")))).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -61,7 +60,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shing
     """Columns ``keep`` and ``__print``, the 64-bit SimHash of the text as a long.
 
     Words and hashes are made by Spark's own functions; numpy counts bits over batches."""
-    words = F.filter(F.split(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    words = F.transform(blank_words(F.col(text_col)), lower_word)
     hashed = docs.select(*keep, words.alias("__w")).select(*keep, shingle_hashes("__w", shingle).alias("__h"))
     schema = docs.select(*keep, F.lit(0).cast("long").alias("__print")).schema
     return hashed.mapInArrow(_fingerprint_batches, schema)
