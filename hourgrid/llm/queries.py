@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from hourgrid.llm.audio import decode_media, encode_texts
 from hourgrid.llm.decontam import find_overlaps
+from hourgrid.llm.html_main import extract_main_text
 from hourgrid.llm.line_dedup import dedup_lines
 from hourgrid.llm.mixing import mix_sources
 from hourgrid.llm.quality import fit_quality, resample
+from hourgrid.llm.secrets import scan_secrets
 from hourgrid.llm.simhash import near_duplicates
 from hourgrid.llm.tokens import apply_edits, build_trees
 from hourgrid.llm.toxicity import fit_toxicity, score_toxicity
@@ -42,6 +44,21 @@ def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_media(media).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document. The tables hold no reviewed findings, so labels
+    follow a stated rule: a value assigned to a name such as token is a finding (1), a
+    number or a part of an address is a false positive (0), anything else is unlabelled."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    assigned = F.col("before").rlike(r"(token|secret|password|passwd|key)$") & F.col("sign").rlike("[\"']")
+    label = F.when(assigned, 1).when(F.col("candidate").rlike("^[0-9]+$") | F.col("sign").rlike("[@./]$"), 0)
+    found = scan_secrets(docs, label=label)
+    return found.select("doc_id", "pos", F.sha2("candidate", 256).alias("candidate_sha256"), F.char_length("candidate").cast("long").alias("n_chars"), "label", "score", "is_secret")
+
+
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -70,7 +87,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_quality_resampling, op4_telephony_audio, op7_line_dedup, op8_simhash_near_dedup, op9_edit_aware_token_counts, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_quality_resampling, op4_telephony_audio, op5_secret_scan, op6_main_text, op7_line_dedup, op8_simhash_near_dedup, op9_edit_aware_token_counts, op10_source_mixing)}
 
 
 OP7_SQL = r"""
