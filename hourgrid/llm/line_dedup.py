@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import ascii_lower, row_key
-
-#: White space of a line's two ends: space and U+0009 to U+000D.
-ENDS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
-
-
-def line_key(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")))
-
+from hourgrid.llm.common import ascii_lower, materialise, row_key, small
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """Drop from every document the lines that at least ``min_docs`` documents hold.
@@ -34,15 +26,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.withColumn("__rk", row_key(F.col(id_col), F.col(text_col)))
-    # An array of one hash per line; null for lines too short to be dropped.
-    lines = rows.select("__rk", F.col(id_col).alias("__id"), F.split(text, "\n", -1).alias("__lines"))
-    hashed = lines.select(
-        "__rk", "__id",
-        F.transform("__lines", lambda x: F.when(F.char_length(line_key(x)) >= min_chars, F.unhex(F.md5(line_key(x))))).alias("__h"),
-    )
+    # One hash per line, null for lines too short to be dropped; read twice, so written once.
+    keys = F.transform(F.split(ascii_lower(text), "\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")))
+    hashes = F.transform("__keys", lambda x: F.when(F.char_length(x) >= min_chars, F.unhex(F.md5(x))))
+    hashed = materialise(rows.select("__rk", F.col(id_col).alias("__id"), keys.alias("__keys")).select("__rk", "__id", hashes.alias("__h")))
     pairs = hashed.select("__id", F.explode(F.array_distinct("__h")).alias("__k")).filter("__k is not null").distinct()
-    shared = pairs.groupBy("__k").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_docs).select("__k")
-    hits = hashed.select("__rk", F.posexplode("__h").alias("__pos", "__k")).filter("__k is not null").join(shared, "__k", "left_semi")
+    shared = materialise(pairs.groupBy("__k").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_docs).select("__k"))
+    hits = hashed.select("__rk", F.posexplode("__h").alias("__pos", "__k")).filter("__k is not null").join(small(shared), "__k", "left_semi")
     # Positions as a set: repeated rows give the same positions.
     drops = hits.groupBy("__rk").agg(F.array_sort(F.collect_set("__pos")).alias("__drop"))
     joined = rows.join(drops, "__rk", "left").withColumn("__lines", F.split(text, "\n", -1))
