@@ -5,23 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import budget_cut, materialise, small, unit_hash, within
-
-#: A token of the size measure.
-TOKEN = r"[^\x20\x09-\x0D]+"
-
+from hourgrid.llm.common import blank_words, budget_cut, materialise, small, unit_hash, within
 
 def n_tokens(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(TOKEN)), F.lit(0)).cast("long")
+    """Runs of characters other than space and U+0009 to U+000D; null has none."""
+    return F.size(blank_words(text)).cast("long")
 
 
-def quality_weight(text: Column) -> Column:
-    """The documents' quality weight of the mixing query, 0.1 to 1: the share of a text's
-    characters that are letters, digits or white space, squared. Null and empty: 0.1."""
-    n = F.char_length(text)
-    odd = n - F.char_length(F.translate(text, "!\"#$%&*+/<=>@[\\]^_`{|}~", ""))
-    share = F.lit(1.0) - odd / F.greatest(n, F.lit(1))
-    return F.coalesce(F.when(n > 0, F.greatest(share * share, F.lit(0.1))), F.lit(0.1))
+def quality_weight(size: Column, text: Column) -> Column:
+    """The mixing query's stand-in for a document's quality, 0.1 to 1: how near the mean
+    length of its tokens, with the blank after each, is to that of prose (6 characters).
+    A null or empty text has 0.1. Any other column can be given instead."""
+    mean = F.char_length(text) / F.greatest(size, F.lit(1))
+    return F.coalesce(F.when(size > 0, F.greatest(F.lit(1.0) / (F.lit(1.0) + F.abs(mean - 6.0) / 6.0), F.lit(0.1))), F.lit(0.1))
 
 
 def cycle_weights(sources: DataFrame, source_col: str, weights: tuple[float, ...]) -> DataFrame:
@@ -63,8 +59,8 @@ def mix_sources(docs: DataFrame, weights: DataFrame | tuple[float, ...], id_col:
 
     Returns all columns of ``docs`` and, added or replaced: ``size``, ``source_size``
     (long), ``target`` (double), ``times`` (int), ``taken`` (long, size x times). Texts are
-    never shuffled: sizes and keys are read from them three times, sums and cuts per source
-    come back as a small table. See :func:`budget_cut` for large sources.
+    never shuffled: a first pass writes their sizes and keys, from which sums and cuts per
+    source are made, a second one applies those. See :func:`budget_cut` for large sources.
 
     Defined cases: a null source is a source of its own, last in order; a null or empty
     text has size 0, is taken 0 words; repeated rows tie and are told apart by nothing, so
@@ -73,9 +69,9 @@ def mix_sources(docs: DataFrame, weights: DataFrame | tuple[float, ...], id_col:
     rows = docs.withColumn("size", n_tokens(F.col(text_col)))
     u = unit_hash(F.lit(seed), F.col(id_col), F.md5(F.col(text_col)))
     # ln of the exponential key: the same order, on a scale that spreads evenly.
-    rows = rows.withColumn("__key", F.log(-F.log(u)) - F.log(quality_weight(F.col(text_col)) if quality is None else quality))
+    rows = rows.withColumn("__key", F.log(-F.log(u)) - F.log(quality_weight(F.col("size"), F.col(text_col)) if quality is None else quality))
     rows = rows.withColumn("__tie", F.struct(F.col(id_col).cast("string").alias("id"), F.md5(F.col(text_col)).alias("h")))
-    narrow = rows.select(F.col(source_col).alias("__s"), "size", "__key", "__tie")
+    narrow = materialise(rows.select(F.col(source_col).alias("__s"), "size", "__key", "__tie"))
     sizes = materialise(narrow.groupBy("__s").agg(F.sum("size").alias("source_size")))
     if not isinstance(weights, DataFrame):
         weights = cycle_weights(sizes, "__s", weights)
