@@ -5,40 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import ascii_lower, materialise, row_key, small
+from hourgrid.llm.common import lower_word, materialise, row_key, small
 
-#: Characters between words: all of ASCII but digits and a-z, after lower-casing.
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Characters between words: all of ASCII but digits and letters.
+NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NOT_WORD), lambda w: w != "")
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), NOT_WORD), lambda w: w != "")
+    return F.transform(words, lower_word)
 
 
 def _grams(words: str, k: int) -> Column:
     """The hash of every k words in a row; empty if there are fewer."""
-    at = lambda i, j: F.element_at(F.col(words), i + j)
     n = F.size(words)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.xxhash64(*[at(i, j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
+    at = F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1)))
+    return F.when(n >= k, F.transform(at, lambda i: F.xxhash64(F.slice(F.col(words), i, k)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _fingerprints(df: DataFrame, words: str, k: int, span: int) -> DataFrame:
-    """Rows of ``df`` exploded to the (``__pos``, ``__fp``) that winnowing keeps: in every run
-    of ``span - k + 1`` k-grams the one of least hash (all of equals). Two texts that share
-    ``span`` words in a row keep a common hash inside that span."""
+    """Rows of ``df`` exploded to their winnowed fingerprints (``__pos``, ``__fp``).
+
+    A window of ``span`` words holds w = span - k + 1 k-grams; its fingerprint is the least of
+    their hashes. Windows in a row with one fingerprint give one row, at the first of
+    them, and another after every w windows. So two texts that share ``span`` words share
+    a fingerprint, and it stands for windows ``__pos`` to ``__pos`` + w - 1."""
     w = span - k + 1
     cols = [c for c in df.columns if c != words]
     df = df.select(*cols, _grams(words, k).alias("__g"))
     n = F.size("__g")
     least = F.transform(F.sequence(F.lit(1), F.greatest(n - w + 1, F.lit(1))), lambda i: F.array_min(F.slice(F.col("__g"), i, w)))
-    df = df.select(*cols, "__g", F.when(n >= w, least).otherwise(F.array().cast("array<bigint>")).alias("__m"))
-
-    def kept(x: Column, i: Column) -> Column:
-        # The k-gram is the least of a window that holds it.
-        first = F.greatest(i - w + 2, F.lit(1))
-        return F.when(x == F.array_max(F.slice(F.col("__m"), first, i + 2 - first)), x)
-
-    return df.select(*cols, F.posexplode(F.transform("__g", kept)).alias("__pos", "__fp")).filter("__fp is not null")
+    df = df.select(*cols, F.when(n >= w, least).otherwise(F.array().cast("array<bigint>")).alias("__m"))
+    kept = F.transform("__m", lambda x, i: F.when((i % w == 0) | (x != F.get(F.col("__m"), i - 1)), x))
+    return df.select(*cols, F.posexplode(kept).alias("__pos", "__fp")).filter("__fp is not null")
 
 
 def find_overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", span: int = 10, k: int = 5) -> DataFrame:
@@ -70,20 +69,20 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
     keys = _fingerprints(items.filter(F.col("__len") == span).select("__words"), "__words", k, span).select("__fp").distinct()
     hits = _fingerprints(words, "__words", k, span).join(small(keys), "__fp", "left_semi")
-    # A fingerprint at p lies in the windows that start at p - (span - k) to p.
-    starts = [hits.select("__rk", F.lit(span).alias("__len"), F.col("__pos").alias("__at"), F.lit(span - k).alias("__back"))]
+    # Of the windows that a fingerprint stands for, the first and how many follow.
+    starts = [hits.select("__rk", F.lit(span).alias("__len"), F.col("__pos").alias("__at"), F.lit(span - k).alias("__more"))]
     for (n,) in items.filter(F.col("__len") < span).select("__len").distinct().collect():  # less than span numbers
         own = items.filter(F.col("__len") == n).select(F.element_at(_grams("__words", n), 1).alias("__fp")).distinct()
         grams = words.select("__rk", F.posexplode(_grams("__words", n)).alias("__pos", "__fp")).join(small(own), "__fp", "left_semi")
-        starts.append(grams.select("__rk", F.lit(n).alias("__len"), F.col("__pos").alias("__at"), F.lit(0).alias("__back")))
+        starts.append(grams.select("__rk", F.lit(n).alias("__len"), F.col("__pos").alias("__at"), F.lit(0).alias("__more")))
     found = starts[0]
     for more in starts[1:]:
         found = found.unionByName(more)
-    found = found.groupBy("__rk").agg(F.collect_set(F.struct("__len", "__at", "__back")).alias("__found"))
+    found = found.groupBy("__rk").agg(F.collect_set(F.struct("__len", "__at", "__more")).alias("__found"))
 
     # Extend: the words around the hits are looked up again, in documents that have any.
-    near = words.dropDuplicates(["__rk"]).join(found, "__rk")
-    reach = F.flatten(F.transform("__found", lambda f: F.transform(F.sequence(F.greatest(f["__at"] - f["__back"], F.lit(0)), f["__at"]), lambda s: F.struct(f["__len"].alias("len"), s.alias("start")))))
+    near = rows.select("__rk", F.col(text_col).alias("__t")).join(found, "__rk").select("__rk", "__found", words_of(F.col("__t")).alias("__words"))
+    reach = F.flatten(F.transform("__found", lambda f: F.transform(F.sequence(f["__at"], f["__at"] + f["__more"]), lambda s: F.struct(f["__len"].alias("len"), s.alias("start")))))
     near = near.select("__rk", "__words", F.array_distinct(reach).alias("__reach"))
     fits = F.filter("__reach", lambda r: r["start"] + r["len"] <= F.size("__words"))
     texts = F.transform(fits, lambda r: F.struct(r["len"].alias("len"), r["start"].alias("start"), F.array_join(F.slice("__words", r["start"] + 1, r["len"]), " ").alias("text")))
