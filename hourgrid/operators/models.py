@@ -21,11 +21,11 @@ IMPORTANCE_ROWS = 20_000
 
 
 def design_stages(categories: list[str], numbers: list[str], scale: bool = False, out: str = "x") -> list:
-    """One-hot categories as seen in training (unseen values are all zero) and numbers,
+    """One-hot categories as seen in training (unseen values get the last slot, which is dropped, so all zero) and numbers,
     standardised on training rows if ``scale``."""
     stages: list = []
     if categories:
-        stages += [StringIndexer(inputCols=categories, outputCols=[f"__i_{c}" for c in categories], handleInvalid="keep", stringOrderType="alphabetAsc"), OneHotEncoder(inputCols=[f"__i_{c}" for c in categories], outputCols=[f"__h_{c}" for c in categories], dropLast=True, handleInvalid="keep")]
+        stages += [StringIndexer(inputCols=categories, outputCols=[f"__i_{c}" for c in categories], handleInvalid="keep", stringOrderType="alphabetAsc"), OneHotEncoder(inputCols=[f"__i_{c}" for c in categories], outputCols=[f"__h_{c}" for c in categories], dropLast=True)]
     stages += [VectorAssembler(inputCols=numbers, outputCol="__num", handleInvalid="keep")]
     if scale:
         stages += [StandardScaler(inputCol="__num", outputCol="__scaled", withMean=True)]
