@@ -66,7 +66,7 @@ def mix_sources(docs: DataFrame, weights: DataFrame | tuple[float, ...], id_col:
     text has size 0, is taken 0 words; repeated rows tie and are told apart by nothing, so
     both or neither are taken; an empty table gives an empty table.
     """
-    rows = docs.withColumn("size", n_tokens(F.col(text_col)))
+    rows = docs.drop("source_size", "target", "times", "taken").withColumn("size", n_tokens(F.col(text_col)))
     u = unit_hash(F.lit(seed), F.col(id_col), F.md5(F.col(text_col)))
     # ln of the exponential key: the same order, on a scale that spreads evenly.
     rows = rows.withColumn("__key", F.log(-F.log(u)) - F.log(quality_weight(F.col("size"), F.col(text_col)) if quality is None else quality))

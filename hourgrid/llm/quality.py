@@ -84,8 +84,8 @@ def _means(model: QualityModel, names: list[str]):
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = BUCKETS, max_labelled: int = MAX_LABELLED) -> QualityModel:
     """Two hashed n-gram models: raw from all of ``docs``, target from the documents with label
     1 among at most ``max_labelled`` labelled rows that are not held out. ``cut`` is where
-    the mean log-ratio agrees with those labels: the lowest cut whose agreement is within
-    one standard error of the best, in favour of keeping documents."""
+    the mean log-ratio agrees with those labels: of the cuts whose agreement is within one
+    standard error of the best (labels err), the one in the middle of the widest gap."""
     sample = F.broadcast(materialise(labelled_sample(labels, label_col, id_col, max_labelled)))  # at most max_labelled rows
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
     marked = rows.join(sample, "__id", "left").select(F.coalesce(F.col("__y") == 1, F.lit(False)).alias("t"), token_hashes(F.col("__t")).alias("__h"))
@@ -100,9 +100,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     if len(seen):
         # Right on each side of a cut before row i: rows below with label 0, the others with label 1.
         right = np.r_[0, np.cumsum(seen[:, 1] == 0)] + np.r_[np.cumsum((seen[:, 1] == 1)[::-1])[::-1], 0]
-        error = np.sqrt(right.max() * (1 - right.max() / len(seen)))
-        at = int(np.argmax(right >= right.max() - error))
-        model.cut = float(seen[at, 0]) if at == 0 else float((seen[at - 1, 0] + seen[min(at, len(seen) - 1), 0]) / 2)
+        good = right >= right.max() - np.sqrt(right.max() * (1 - right.max() / len(seen)))
+        gaps = np.where(good[1:-1], np.diff(seen[:, 0]), -1.0)
+        if len(gaps) and gaps.max() > 0:
+            model.cut = float(seen[gaps.argmax() : gaps.argmax() + 2, 0].mean())
+        else:
+            model.cut = float(seen[0, 0])
     return model
 
 

@@ -39,7 +39,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # The text around candidates: piece, candidate, piece, ..., piece.
     rows = docs.select(F.col(id_col), F.col(path_col).alias("path"), F.split(text, CANDIDATE, -1).alias("__p"), F.regexp_extract_all(text, F.lit(f"({CANDIDATE})"), F.lit(1)).alias("__c"))
     # Only the words next to a candidate go with it, whatever the length of the text.
-    last = lambda x: F.lower(F.regexp_extract(F.right(x, F.lit(60)), r"(\S*)[\s\"'`]*[=:]*[\s\"'`]*$", 1))
+    last = lambda x: F.lower(F.regexp_extract(F.right(x, F.lit(60)), r"([^\s\"'`=:]*)[\s\"'`]*[=:]*[\s\"'`]*$", 1))
     first = lambda x: F.lower(F.regexp_extract(F.left(x, F.lit(60)), r"^[\"'`]*\s*(\S*)", 1))
     sign = lambda x: F.regexp_extract(F.right(x, F.lit(8)), r"([=:\"'`/@.]*)\s*$", 1)
     item = F.transform("__c", lambda c, i: F.struct(i.cast("int").alias("pos"), c.alias("candidate"), last(F.get("__p", i)).alias("before"), sign(F.get("__p", i)).alias("sign"), first(F.get("__p", i + 1)).alias("after")))
