@@ -553,7 +553,7 @@ def m16_permutation_importance(s, d):
 
 
 def _fitted(s, d, fit):
-    df = work.score_job(_features(s, d)).drop("score")
+    df = work.score_job(_features(s, d)).drop("score").cache()  # every pass of a fit reads it
     model = fit(df.filter("split = 'train'"), ["entity"], list(fe.NUMERIC))
     return me.ranking_metrics(mo.classify(model, df.filter("split = 'test'")))
 
