@@ -70,7 +70,8 @@ def _features(s: SparkSession, d: str) -> DataFrame:
 
 def _scores(s: SparkSession, d: str, split: str | None = None) -> DataFrame:
     df = work.score_job(_features(s, d))
-    return (df if split is None else df.filter(F.col("split") == split)).select("entity", "hour", "label", "score")
+    rows = (df if split is None else df.filter(F.col("split") == split)).select("entity", "hour", "label", "score")
+    return rows.cache()  # four narrow columns, read several times by a metric
 
 
 def _timeline(s: SparkSession, d: str) -> DataFrame:

@@ -27,9 +27,10 @@ def label_job(updates: DataFrame, policy: Policy) -> DataFrame:
     return lab.label_grid(lab.entity_hour_grid(updates, policy), starts)
 
 
-def feature_job(updates: DataFrame, schedule: DataFrame, policy: Policy) -> DataFrame:
-    """Updates and a schedule to features of every entity and hour."""
-    return fe.build_features(label_job(updates, policy), sch.schedule_fact(schedule, policy), sch.schedule_coverage(schedule))
+def feature_job(updates: DataFrame, schedule: DataFrame, policy: Policy, targets: DataFrame | None = None) -> DataFrame:
+    """Updates and a schedule to features of every entity and hour; ``targets`` are the labels
+    if they have been written before."""
+    return fe.build_features(label_job(updates, policy) if targets is None else targets, sch.schedule_fact(schedule, policy), sch.schedule_coverage(schedule))
 
 
 def score_job(features: DataFrame) -> DataFrame:
@@ -43,4 +44,5 @@ def build(spark: SparkSession, folder: str, out: str, replace: bool = False) ->
     naive_session(spark)
     up = tables.updates(spark, folder)
     write_layer(label_job(up, policy), f"{out}/labels", replace, ("year",))
-    write_layer(feature_job(up, tables.schedule(spark, folder), policy), f"{out}/features", replace, ("year",))
+    labels = spark.read.parquet(f"{out}/labels")
+    write_layer(feature_job(up, tables.schedule(spark, folder), policy, labels), f"{out}/features", replace, ("year",))
