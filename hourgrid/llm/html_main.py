@@ -14,7 +14,6 @@ from hourgrid.llm.common import materialise, small
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-_SPACE = re.compile(r"[ \t\n\r\f\v ]+")
 
 #: Elements without content, elements of raw text, and elements that never belong to a main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -118,7 +117,7 @@ def blocks(node: Node) -> list[str]:
     run: list[str] = []
 
     def flush() -> None:
-        text = _SPACE.sub(" ", unescape("".join(run))).strip()
+        text = " ".join(unescape("".join(run)).split())
         if text:
             out.append(text)
         run.clear()
