@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourgrid.functions import columns as col
+from hourgrid.functions.storage import materialise
 from hourgrid.jobs import workloads as work
 from hourgrid.operators import delays as de
 from hourgrid.operators import features as fe
@@ -71,7 +72,7 @@ def _features(s: SparkSession, d: str) -> DataFrame:
 def _scores(s: SparkSession, d: str, split: str | None = None) -> DataFrame:
     df = work.score_job(_features(s, d))
     rows = (df if split is None else df.filter(F.col("split") == split)).select("entity", "hour", "label", "score")
-    return rows.cache()  # four narrow columns, read several times by a metric
+    return materialise(rows)  # four narrow columns, read several times by a metric
 
 
 def _timeline(s: SparkSession, d: str) -> DataFrame:
@@ -335,14 +336,15 @@ def _summary(s, d, targets):
     return qu.quality_summary(inc.event_instances(u), inc.incident_starts(u, P), targets, bad)
 
 
-def _feature_summary(s, d):
-    plan = tables.schedule(s, d)
-    return qu.feature_summary(_features(s, d), plan, sch.schedule_coverage(plan), sch.schedule_fact(plan, P), sch.unmapped_schedule(plan, P))
+def _feature_summary(s, d, targets=None):
+    plan = materialise(tables.schedule(s, d))
+    features = work.feature_job(tables.updates(s, d), plan, P, targets)
+    return qu.feature_summary(features, plan, sch.schedule_coverage(plan), sch.schedule_fact(plan, P), sch.unmapped_schedule(plan, P))
 
 
 @query
 def d6_quality_summary(s, d):
-    return _summary(s, d, _targets(s, d))
+    return _summary(s, d, materialise(_targets(s, d)))
 
 
 @query
@@ -362,8 +364,8 @@ def d9_feature_summary(s, d):
 
 @query
 def d10_quality_checks(s, d):
-    targets = _targets(s, d)
-    return qu.quality_checks(_summary(s, d, targets), targets, P, _feature_summary(s, d))
+    targets = materialise(_targets(s, d))
+    return qu.quality_checks(_summary(s, d, targets), targets, P, _feature_summary(s, d, targets))
 
 
 @query
