@@ -6,12 +6,10 @@ columns of ``documents``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import shared_folder
+from hourgrid.functions.storage import materialise
 from hourgrid.llm.decontam import find_overlaps
 from hourgrid.llm.line_dedup import dedup_lines
 from hourgrid.llm.mixing import mix_sources
@@ -64,7 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+            docs = materialise(docs)
     return docs

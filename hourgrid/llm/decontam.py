@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import lower_word, materialise, row_key, small
+from hourgrid.functions.storage import materialise
+from hourgrid.llm.common import lower_word, row_key, small
 
 #: Characters between words: all of ASCII but digits and letters.
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"

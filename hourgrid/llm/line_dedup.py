@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import ascii_lower, materialise, row_key, small
+from hourgrid.functions.storage import materialise
+from hourgrid.llm.common import ascii_lower, row_key, small
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """Drop from every document the lines that at least ``min_docs`` documents hold.

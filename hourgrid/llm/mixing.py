@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import blank_words, budget_cut, materialise, small, unit_hash, within
+from hourgrid.functions.storage import materialise
+from hourgrid.llm.common import blank_words, budget_cut, small, unit_hash, within
 
 def n_tokens(text: Column) -> Column:
     """Runs of characters other than space and U+0009 to U+000D; null has none."""

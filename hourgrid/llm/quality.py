@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import budget_cut, crc_fold, materialise, row_key, unit_hash, within
+from hourgrid.functions.storage import materialise
+from hourgrid.llm.common import budget_cut, crc_fold, row_key, unit_hash, within
 from hourgrid.llm.labelled import MAX_LABELLED, labelled_sample
 
 #: n-grams are hashed to this many buckets.

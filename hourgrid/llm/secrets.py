@@ -9,7 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import blank_words, crc_fold, materialise, small
+from hourgrid.functions.storage import materialise
+from hourgrid.llm.common import blank_words, crc_fold, small
 from hourgrid.llm.labelled import MAX_LABELLED
 
 #: A candidate: a run of at least 12 of these characters, one of them a digit. A run is

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.llm.common import blank_words, lower_word, materialise, row_key
+from hourgrid.functions.storage import materialise
+from hourgrid.llm.common import blank_words, lower_word, row_key
 from hourgrid.llm.components import components
 
 #: A fingerprint is rotated by these numbers of bits. If two differ in two bits or fewer,
