@@ -14,7 +14,7 @@ from hourgrid.functions.storage import materialise
 from hourgrid.llm.common import small
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 #: Elements without content, elements of raw text, and elements that never belong to a main text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,18 +42,28 @@ class Node:
         self.parts: list[Node | str] = []
 
 
+#: A class that begins or ends so says something about its element's surroundings or state.
+NOT_SIDE = frozenset("has with no not is open closed enabled on off".split())
+
+
+def _side_word(word: str) -> bool:
+    parts = re.split(r"[-_]+", word)
+    return not {parts[0], parts[-1]} & NOT_SIDE and any(SIDE_WORDS.match(p) for p in parts)
+
+
 def _marks(tag: str, attrs: str) -> tuple[str, bool]:
     """(generalised name: tag and classes without digits, whether it stands beside the main text)."""
     side, classes = tag in APART, ""
     for key, *values in _ATTR.findall(attrs) if attrs else ():
-        value, key = next((v for v in values if v), ""), key.lower()
+        key = key.lower()
         if key == "hidden":
             side = True
+        if key not in ("class", "id", "role"):
             continue
-        words = unescape(value).lower().split()
+        words = unescape(next((v for v in values if v), "")).lower().split()
         if key == "class":
             classes = "".join(sorted({"." + re.sub(r"\d+", "#", w) for w in words}))
-        side = side or any(SIDE_WORDS.match(p) for w in words for p in re.split(r"[-_]+", w)) and tag not in ("html", "body")
+        side = side or tag not in ("html", "body", "article", "main") and any(map(_side_word, words))
     return tag + classes, side
 
 

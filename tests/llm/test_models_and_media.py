@@ -244,6 +244,11 @@ def test_sections_of_an_article_stay_together():
     assert html_main.main_text(html_main.parse(page)).endswith("\nshort end")
 
 
+def test_words_in_attributes():
+    page = "<body><article class='post comments-open' title='a hidden id'><p data-x=\"role class hidden\">kept</p><div class=has-sidebar>kept too</div><div hidden>no</div><div id=cookie_notice>no</div></article></body>"
+    assert html_main.main_text(html_main.parse(page)) == "kept\nkept too"
+
+
 # -- token counts
 
 
