@@ -14,6 +14,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hourgrid.functions.sampling import hash_sample
 from hourgrid.operators.metrics import ranking_metrics
 
 #: Rows that permutation importance looks at, at most; they are chosen by hash.
@@ -71,8 +72,7 @@ def permutation_importance(df: DataFrame, columns: list[str], scorer: Callable[[
     """(feature, importance): how much average precision falls when a column is shuffled, the
     mean over ``repeats``. The sample, at most ``max_rows`` rows in hash order, is scored once
     for all columns and repeats: shuffled values come from the row of another rank."""
-    key = F.xxhash64(*keys)
-    sample = df.orderBy(key, *keys).limit(max_rows)
+    sample = hash_sample(df, max_rows, keys)
     ranks = [F.row_number().over(Window.orderBy(F.xxhash64(F.lit(i), *keys), *keys)).alias(f"__r{i}") for i in range(repeats + 1)]  # the sample only
     base = sample.select("*", *ranks)
     given = base.select(F.col("__r0").alias("__at"), F.struct(*columns).alias("__new"))

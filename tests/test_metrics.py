@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hourgrid.functions import frames
+from hourgrid.functions.sampling import hash_sample
 from hourgrid.jobs.queries import BUNDLE
 from hourgrid.operators import delays, metrics, models, scoring
 from hourgrid.sources import sinks
@@ -179,3 +180,10 @@ def test_snapshot(spark):
     a = df.agg(*up.fingerprint(df)).first()
     b = df.orderBy(F.desc("id")).agg(*up.fingerprint(df)).first()
     assert a == b
+
+
+def test_hash_sample_is_the_same_for_any_order(spark):
+    df = spark.range(5000).select("id", (F.col("id") % 3).alias("g"))
+    want = {r.id for r in df.orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 40))).limit(200).collect()}
+    assert {r.id for r in hash_sample(df, 200, ["id"]).collect()} == want == {r.id for r in hash_sample(df.orderBy(F.desc("id")).repartition(7), 200, ["id"]).collect()}
+    assert hash_sample(df, 50, ["g"]).count() == 50 and hash_sample(df, 9000, ["id"]).count() == 5000 and hash_sample(df.limit(0), 5, ["id"]).count() == 0
