@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hourgrid.functions.sampling import hash_sample
 from hourgrid.llm.common import crc_fold
 
 #: Labelled rows that a model is fitted on at most. They are chosen by a hash of the id,
@@ -19,7 +20,7 @@ def labelled_sample(labels: DataFrame, label_col: str, id_col: str = "doc_id", m
     several labels has the largest."""
     rows = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (crc_fold(F.col(id_col)) != 0))
     rows = rows.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("int").alias("__y"))
-    return rows.withColumn("__fold", crc_fold(F.col("__id"))).orderBy(F.xxhash64("__id"), "__id").limit(max_rows)
+    return hash_sample(rows.withColumn("__fold", crc_fold(F.col("__id"))), max_rows, ["__id"])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:

@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hourgrid.functions.sampling import hash_sample
 from hourgrid.functions.storage import materialise
 from hourgrid.llm.common import blank_words, crc_fold, small
 from hourgrid.llm.labelled import MAX_LABELLED
@@ -78,8 +79,8 @@ def fit_false_positive_filter(featured: DataFrame, label_col: str = "label", id_
     At most ``max_labelled`` labelled rows, chosen by hash, are used; ids that are held out
     (crc32 modulo 5 is 0) and rows without label are not. None without both classes."""
     rows = featured.filter(F.col(label_col).isNotNull() & (crc_fold(F.col(id_col)) != 0)).withColumn("__y", F.col(label_col).cast("double"))
-    rows = rows.select(*NUMBERS, "__near", "__path", "__y", F.xxhash64("candidate", F.col(id_col), "pos").alias("__h")).orderBy("__h").limit(max_labelled)
-    rows = materialise(rows)
+    rows = rows.select("candidate", F.col(id_col).alias("__id"), "pos", *NUMBERS, "__near", "__path", "__y")
+    rows = materialise(hash_sample(rows, max_labelled, ["candidate", "__id", "pos"]))
     if rows.select("__y").distinct().count() < 2:
         return None
     steps = [HashingTF(numFeatures=NEIGHBOURS, inputCol="__near", outputCol="__nearv"), HashingTF(numFeatures=PATHS, inputCol="__path", outputCol="__pathv"), VectorAssembler(inputCols=[*NUMBERS, "__nearv", "__pathv"], outputCol="__x")]
