@@ -83,8 +83,9 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
     # Extend: the words around the hits are looked up again, in documents that have any.
     near = rows.select("__rk", F.col(text_col).alias("__t")).join(found, "__rk").select("__rk", "__found", words_of(F.col("__t")).alias("__words"))
-    reach = F.flatten(F.transform("__found", lambda f: F.transform(F.sequence(f["__at"], f["__at"] + f["__more"]), lambda s: F.struct(f["__len"].alias("len"), s.alias("start")))))
-    near = near.select("__rk", "__words", F.array_distinct(reach).alias("__reach"))
+    # A window as one number, start x 2^16 + length: distinct numbers are found by hashing.
+    reach = F.flatten(F.transform("__found", lambda f: F.transform(F.sequence(f["__at"], f["__at"] + f["__more"]), lambda s: s.cast("long") * (1 << 16) + f["__len"])))
+    near = near.select("__rk", "__words", F.transform(F.array_distinct(reach), lambda r: F.struct((r % (1 << 16)).cast("int").alias("len"), F.floor(r / (1 << 16)).cast("int").alias("start"))).alias("__reach"))
     fits = F.filter("__reach", lambda r: r["start"] + r["len"] <= F.size("__words"))
     texts = F.transform(fits, lambda r: F.struct(r["len"].alias("len"), r["start"].alias("start"), F.array_join(F.slice("__words", r["start"] + 1, r["len"]), " ").alias("text")))
     near = near.select("__rk", F.explode(texts).alias("__r")).select("__rk", F.col("__r.len").alias("__len"), F.col("__r.start").alias("__start"), F.col("__r.text").alias("__text"))

@@ -29,11 +29,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.withColumn("__rk", row_key(F.col(id_col), F.col(text_col)))
     # One hash per line, null for lines too short to be dropped; read twice, so written once.
     keys = F.transform(F.split(ascii_lower(text), "\n", -1), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")))
-    hashes = F.transform("__keys", lambda x: F.when(F.char_length(x) >= min_chars, F.unhex(F.md5(x))))
+    hashes = F.transform("__keys", lambda x: F.when(F.char_length(x) >= min_chars, F.md5(x)))
     hashed = materialise(rows.select("__rk", F.col(id_col).alias("__id"), keys.alias("__keys")).select("__rk", "__id", hashes.alias("__h")))
-    pairs = hashed.select("__id", F.explode(F.array_distinct("__h")).alias("__k")).filter("__k is not null").distinct()
+    # Distinct strings are found by hashing, distinct binaries are not; so binaries come last.
+    pairs = hashed.select("__id", F.explode(F.array_distinct("__h")).alias("__k")).filter("__k is not null").select("__id", F.unhex("__k").alias("__k")).distinct()
     shared = materialise(pairs.groupBy("__k").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= min_docs).select("__k"))
-    hits = hashed.select("__rk", F.posexplode("__h").alias("__pos", "__k")).filter("__k is not null").join(small(shared), "__k", "left_semi")
+    hits = hashed.select("__rk", F.posexplode("__h").alias("__pos", "__k")).filter("__k is not null").withColumn("__k", F.unhex("__k")).join(small(shared), "__k", "left_semi")
     # Positions as a set: repeated rows give the same positions.
     drops = hits.groupBy("__rk").agg(F.array_sort(F.collect_set("__pos")).alias("__drop"))
     joined = rows.join(drops, "__rk", "left").withColumn("__lines", F.split(text, "\n", -1))
