@@ -13,8 +13,8 @@ from hourgrid.functions.storage import materialise
 from hourgrid.llm.decontam import find_overlaps
 from hourgrid.llm.line_dedup import dedup_lines
 from hourgrid.llm.mixing import mix_sources
+from hourgrid.llm.near_copies import drop_near_copies as drop_copies
 from hourgrid.llm.quality import fit_quality, resample
-from hourgrid.llm.simhash import drop_near_duplicates
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,10 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
-    return drop_near_duplicates(docs).select(*docs.columns)
+    """One document of each component of texts whose five-word shingles are similar by 0.8 or
+    more. Fingerprints of 64 bits differ in up to 11 bits and more at that similarity, too
+    many for their trie join, so the stage compares the shingles themselves."""
+    return drop_copies(docs).select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +53,7 @@ STAGES = [
     ("source mixing", mix),
 ]
 
-#: Hashed models, Gumbel noise and XXH64 fingerprints are beyond SQL; tests compare with brute force.
+#: Hashed models, Gumbel noise and shingle similarity are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
