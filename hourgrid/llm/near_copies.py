@@ -12,6 +12,8 @@ from hourgrid.llm.simhash import shingle_hashes
 
 #: A text that many pairs name is dealt to so many tasks when its pairs are confirmed.
 SALTS = 8
+#: Prefixes are longer than the bound asks by one shingle in so many, and more than one must be shared.
+MORE = 16
 
 
 def _least(n: Column, similarity: float) -> Column:
@@ -29,14 +31,27 @@ def _confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(shared + F.lit(1e-9) >= F.lit(similarity) * (F.col("__na") + F.col("__nb") - shared)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def link_texts(texts: DataFrame, similarity: float = 0.8) -> DataFrame:
+def with_companions(texts: DataFrame, similarity: float) -> DataFrame:
+    """``__k`` of the texts (``__k``, ``__n``, ``__p``: prefixes of :func:`prefix`) that may be similar to another."""
+    tokens = texts.select("__k", "__n", F.explode("__p").alias("__t"))
+    shared = tokens.groupBy("__t").agg(F.count(F.lit(1)).alias("__df")).filter("__df > 1").select("__t")
+    held = tokens.join(small(materialise(shared)), "__t", "left_semi").groupBy("__k", "__n").agg(F.count(F.lit(1)).alias("__m"))
+    return materialise(held.filter(F.col("__m") >= F.ceil(F.col("__n") * F.lit(similarity / MORE) - F.lit(1e-9))).select("__k"))
+
+
+def prefix(shingles: Column, similarity: float) -> Column:
+    """The least of a text's hashes: as many as a similar text may lack, and 1 in ``MORE`` of all.
+    Of these, similar texts share the lesser of their 1 in ``MORE`` at least."""
+    n = F.size(shingles)
+    return F.slice(F.sort_array(shingles), 1, n - _least(n, similarity) + F.ceil(n / MORE).cast("int"))
+
+
+def link_texts(some: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Links (a < b) between texts whose shingle sets have a Jaccard similarity of at least
     ``similarity``; the components of the links are those of all such pairs.
 
-    ``texts`` has ``__k`` (long, distinct), ``__n`` (number of distinct shingles) and ``__s``
-    (their hashes). Three exact bounds come before any pair. Similar texts share one of the
-    least hashes of each (prefix filter), so texts without such a companion are out; of
-    what is left, a text whose shingles do not occur elsewhere often enough is out; the
+    ``some`` has ``__k`` (long, distinct), ``__n`` (number of distinct shingles) and ``__s``
+    (their hashes). A text whose shingles do not occur in others often enough is out; the
     prefixes of the rest are taken in order of frequency, rare shingles first.
 
     In each group of a prefix shingle, all are compared with the member whose shingles are
@@ -44,19 +59,13 @@ def link_texts(texts: DataFrame, similarity: float = 0.8) -> DataFrame:
     different components are compared after it, so a large group of copies costs about
     one comparison a member.
     """
-    first = F.slice(F.sort_array("__s"), 1, F.col("__n") - _least(F.col("__n"), similarity) + 1)
-    short = materialise(texts.select("__k", first.alias("__p")))
-    tokens = short.select("__k", F.explode("__p").alias("__t"))
-    shared = tokens.groupBy("__t").agg(F.min("__k").alias("__lo"), F.max("__k").alias("__hi")).filter("__lo < __hi").select("__t")
-    paired = materialise(tokens.join(small(materialise(shared)), "__t", "left_semi").select("__k").distinct())
-    some = materialise(texts.join(small(paired), "__k", "left_semi"))
     every = some.select("__k", "__n", F.explode("__s").alias("__t"))
     often = every.groupBy("__t").agg(F.count(F.lit(1)).alias("__df")).filter("__df > 1")
     ordered = every.join(often, "__t").groupBy("__k", "__n").agg(F.sort_array(F.collect_list(F.struct("__df", "__t"))).alias("__l"), F.avg(F.log("__df")).alias("__w"))
     sets = ordered.select("__k", "__n", F.size("__l").alias("__c"), (F.col("__w") * F.size("__l") / F.col("__n")).alias("__w"), F.col("__l.__t").alias("__s"))
     sets = materialise(sets.filter(F.col("__c") >= _least(F.col("__n"), similarity)))
-    prefix = F.slice("__s", 1, F.col("__c") - _least(F.col("__n"), similarity) + 1)
-    groups = materialise(sets.select("__k", "__n", "__c", "__w", F.explode(prefix).alias("__t")))
+    rare = F.slice("__s", 1, F.col("__c") - _least(F.col("__n"), similarity) + 1)
+    groups = materialise(sets.select("__k", "__n", "__c", "__w", F.explode(rare).alias("__t")))
     # Round one: everyone against the most common member of the group.
     heads = groups.groupBy("__t").agg(F.max(F.struct("__w", "__k", "__n", "__c")).alias("__h"), F.count(F.lit(1)).alias("__m")).filter("__m > 1")
     heads = small(materialise(heads.select("__t", F.col("__h.__k").alias("a"), F.col("__h.__n").alias("__n2"), F.col("__h.__c").alias("__c2"))))
@@ -69,7 +78,6 @@ def link_texts(texts: DataFrame, similarity: float = 0.8) -> DataFrame:
     open_ = named.groupBy("__t").agg(F.min("__r").alias("__lo"), F.max("__r").alias("__hi")).filter("__lo < __hi").select("__t")
     named = materialise(named.join(small(materialise(open_)), "__t", "left_semi"))
     other = named.select("__t", F.col("__k").alias("b"), F.col("__r").alias("__r2"), F.col("__n").alias("__n2"), F.col("__c").alias("__c2"))
-    # Groups of one text and component are one row before they meet; equal pairs come from several shingles.
     met = named.join(other, "__t").filter((F.col("__k") < F.col("b")) & (F.col("__r") != F.col("__r2")) & possible)
     rest = materialise(met.select(F.col("__k").alias("a"), "b").distinct())
     return links.union(_confirm(rest, sets, similarity))
@@ -80,19 +88,27 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shingles (A-Z lowered, words between white space) have a Jaccard similarity of at least
     ``similarity``: that of the least id (null last; of equal ids the one of least key).
 
-    Texts of the same words are one text, named by a 64-bit hash, before any join.
+    Texts of the same words are one text, named by a 64-bit hash, before any join. Only
+    texts that the prefix filter leaves are read again with all their shingles.
+
     Defined cases: null, empty and blank texts are one text; a text of fewer than
     ``shingle`` words is one shingle; repeated rows are one document; an empty table
     gives an empty table.
     """
     words = F.transform(blank_words(F.col(text_col)), lower_word)
     rows = docs.select(F.col(id_col).alias("__id"), row_key(F.col(id_col), F.col(text_col)).alias("__rk"), words.alias("__words"))
-    rows = rows.withColumn("__k", F.xxhash64(F.array_join("__words", " ")))
-    hashed = materialise(rows.select("__id", "__rk", "__k", F.array_distinct(shingle_hashes("__words", shingle)).alias("__s")))
+    rows = rows.select("*", F.array_distinct(shingle_hashes("__words", shingle)).alias("__s"))
+    rows = materialise(rows.select("__id", "__rk", F.xxhash64(F.array_join("__words", " ")).alias("__k"), F.size("__s").alias("__n"), prefix(F.col("__s"), similarity).alias("__p")))
     order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__rk").alias("key"))
-    firsts = materialise(hashed.groupBy("__k").agg(F.min(order).alias("__o")))
-    once = hashed.join(firsts.select(F.col("__o.key").alias("__rk")), "__rk", "left_semi").dropDuplicates(["__rk"]).filter(F.size("__s") > 0)
-    roots = components(link_texts(materialise(once.select("__k", F.size("__s").alias("__n"), "__s")), similarity))
+    firsts = materialise(rows.groupBy("__k").agg(F.min(order).alias("__o")))
+    named = firsts.select("__k", F.col("__o.key").alias("__rk"))
+    # Repeated rows come several times here, which only leaves more of them in.
+    once = rows.join(small(named.select("__rk")), "__rk", "left_semi").filter("__n > 0").select("__k", "__n", "__p")
+    some = materialise(named.join(with_companions(once, similarity), "__k"))
+    read = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("__rk"), F.col(text_col).alias("__text")).join(small(some), "__rk")
+    read = read.select("__k", F.transform(blank_words(F.col("__text")), lower_word).alias("__words")).select("__k", F.array_distinct(shingle_hashes("__words", shingle)).alias("__s"))
+    texts = materialise(read.dropDuplicates(["__k"]).select("__k", F.size("__s").alias("__n"), "__s"))
+    roots = components(link_texts(texts, similarity))
     of = firsts.join(roots, F.col("__k") == F.col("node"), "left").withColumn("__r", F.coalesce("root", "__k"))
     keep = of.groupBy("__r").agg(F.min("__o").alias("__o")).select(F.col("__o.key").alias("__rk"))
     return docs.withColumn("__rk", row_key(F.col(id_col), F.col(text_col))).join(keep, "__rk", "left_semi").dropDuplicates(["__rk"]).drop("__rk")
