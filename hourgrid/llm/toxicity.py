@@ -14,29 +14,36 @@ from hourgrid.functions.storage import materialise
 from hourgrid.llm.common import crc_fold
 from hourgrid.llm.labelled import MAX_LABELLED, labelled_sample, logistic
 
-#: Words are hashed to this many buckets, which bounds the models.
-BUCKETS = 1 << 18
 #: What separates words: ASCII but letters and digits, and general punctuation.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-¿ -⁯　-〿]+"
 
 
-def word_ids(text: Column, buckets: int = BUCKETS) -> Column:
+def word_ids(text: Column) -> Column:
+    """64-bit hashes of the words of ``text``."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BREAK), lambda w: w != "")
-    return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 @dataclass
 class ToxicityModel:
-    """``ratio``: log P(word | toxic) - log P(word | ordinary) per bucket; ``weights`` turn a
-    text's length-normalised log-likelihood ratios into the logit of the score."""
+    """``ratio``: log P(word | toxic) - log P(word | ordinary) per word of ``keys`` (sorted hashes),
+    0 for any other; ``weights`` turn a text's features into the logit of the score."""
 
+    keys: np.ndarray
     ratio: np.ndarray
     weights: np.ndarray
 
+    def of_words(self, values: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(values), np.float32)
+        at = np.minimum(np.searchsorted(self.keys, values), len(self.keys) - 1)
+        return np.where(self.keys[at] == values, self.ratio[at], np.float32(0))
+
     def features(self, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Per text the log-likelihood ratio divided by the root of its length and by its length."""
         n = np.diff(offsets)
-        total = np.r_[0.0, np.cumsum(self.ratio[values[offsets[0] : offsets[-1]]], dtype=np.float64)]
+        own = self.of_words(values[offsets[0] : offsets[-1]])
+        total = np.r_[0.0, np.cumsum(own, dtype=np.float64)]
         sums = total[offsets[1:] - offsets[0]] - total[offsets[:-1] - offsets[0]]
         return np.c_[sums / np.sqrt(np.maximum(n, 1)), sums / np.maximum(n, 1)]
 
@@ -59,13 +66,6 @@ def backoff_mixture(counts: np.ndarray, shared: np.ndarray, backoff: float) -> n
     return kept + (1 - kept.sum()) * shared
 
 
-def _dense(rows: list, buckets: int) -> np.ndarray:
-    out = np.zeros(buckets)
-    for b, n in rows:
-        out[b] = n
-    return out
-
-
 def _features(model: ToxicityModel, keep: int, names: list[str], scored: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -79,31 +79,35 @@ def _features(model: ToxicityModel, keep: int, names: list[str], scored: bool):
     return run
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", backoff: float = 0.9, buckets: int = BUCKETS, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", backoff: float = 0.9, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
     """Fit on at most ``max_labelled`` labelled rows that are not held out.
 
     A word's continuation count is the number of documents (contexts) that hold it, so a
     word that one document repeats counts once. Counts per class come from folds 1 to 3 of
     the labelled rows, the shared backoff counts from all of ``docs``; fold 4 calibrates
-    the score. Only tables of ``buckets`` numbers and the sample's features reach the driver.
+    the score. Counts are tables keyed by the word's 64-bit hash, as many rows as there are
+    words. The driver gets the words of the labelled documents, which ``max_labelled``
+    bounds: another word has no count in either class, so the same ratio in both.
     """
     sample = F.broadcast(materialise(labelled_sample(labels, label_col, id_col, max_labelled)))  # at most max_labelled rows
     words = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
-    every = words.select(F.explode(F.array_distinct(word_ids(F.col("__t"), buckets))).alias("b")).groupBy("b").count()
-    shared = _dense([(r[0], r[1]) for r in every.collect()], buckets)  # at most `buckets` rows
-    own = words.join(sample, "__id").filter(F.col("__fold") < 4).select("__y", F.explode(F.array_distinct(word_ids(F.col("__t"), buckets))).alias("b"))
-    by_class = own.groupBy("__y", "b").count().collect()  # at most 2 x `buckets` rows
-    shared = (shared + 0.5) / (shared + 0.5).sum()
-    p = [backoff_mixture(_dense([(r[1], r[2]) for r in by_class if r[0] == y], buckets), shared, backoff) for y in (0, 1)]
-    model = ToxicityModel((np.log(p[1]) - np.log(p[0])).astype(np.float32), np.array([0.0, 0.0, 0.0]))
-    held = words.join(sample, "__id").filter(F.col("__fold") == 4).select("__y", word_ids(F.col("__t"), buckets).alias("__w"))
+    every = materialise(words.select(F.explode(F.array_distinct(word_ids(F.col("__t")))).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")))
+    total, size = every.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    own = words.join(sample, "__id").filter(F.col("__fold") < 4).select("__y", F.explode(F.array_distinct(word_ids(F.col("__t")))).alias("b"))
+    own = own.groupBy("b").agg(*[F.count(F.when(F.col("__y") == y, 1)).alias(f"n{y}") for y in (0, 1)])
+    table = own.join(every, "b").select("b", "n0", "n1", "n").toArrow().sort_by("b")  # words of the sample
+    keys, *counts, shared = (table[c].to_numpy().astype(kind) for c, kind in (("b", np.int64), ("n0", float), ("n1", float), ("n", float)))
+    shared = (shared + 0.5) / (total + 0.5 * size + 0.5)
+    p = [backoff_mixture(c, shared, backoff) for c in counts]
+    model = ToxicityModel(keys, (np.log(p[1]) - np.log(p[0])).astype(np.float32), np.zeros(3))
+    held = words.join(sample, "__id").filter(F.col("__fold") == 4).select("__y", word_ids(F.col("__t")).alias("__w"))
     rows = held.mapInArrow(_features(model, 1, ["y", "a", "b"], False), "y int, a double, b double").collect()  # part of the sample
     table = np.array([(r[1], r[2], r[0]) for r in sorted(rows)]).reshape(-1, 3)
     model.weights = logistic(table[:, :2], table[:, 2])
     return model
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``id_col``, ``held_out``, ``score``, ``predicted``) per row of ``docs``: ``score`` (0 to 1)
     grows with the odds that the toxic model wrote the text; ``predicted`` is score >= 0.5.
 
@@ -112,7 +116,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     repeated rows get equal scores; null ids are not held out and never labelled.
     """
     held_out = (crc_fold(F.col(id_col)) == 0) & F.col(id_col).isNotNull()
-    rows = docs.select(F.col(id_col), held_out.alias("held_out"), word_ids(F.col(text_col), buckets).alias("__w"))
+    rows = docs.select(F.col(id_col), held_out.alias("held_out"), word_ids(F.col(text_col)).alias("__w"))
     schema = docs.select(F.col(id_col), held_out.alias("held_out"), F.lit(0.0).alias("score")).schema
     scored = rows.mapInArrow(_features(model, 2, [id_col, "held_out", "score"], True), schema)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
