@@ -16,6 +16,8 @@ from hourgrid.llm.labelled import MAX_LABELLED, labelled_sample, logistic
 
 #: What separates words: ASCII but letters and digits, and general punctuation.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-¿ -⁯　-〿]+"
+#: Words of a text with the largest ratios that are features of their own.
+TOP = 3
 
 
 def word_ids(text: Column) -> Column:
@@ -27,7 +29,7 @@ def word_ids(text: Column) -> Column:
 @dataclass
 class ToxicityModel:
     """``ratio``: log P(word | toxic) - log P(word | ordinary) per word of ``keys`` (sorted hashes),
-    0 for any other; ``weights`` turn a text's features into the logit of the score."""
+    shrunk by how often it was seen labelled, 0 for any other; ``weights`` turn a text's features into the logit of the score."""
 
     keys: np.ndarray
     ratio: np.ndarray
@@ -40,28 +42,38 @@ class ToxicityModel:
         return np.where(self.keys[at] == values, self.ratio[at], np.float32(0))
 
     def features(self, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Per text the log-likelihood ratio divided by the root of its length and by its length."""
+        """Per text the log-likelihood ratio divided by the root of its length and by its length,
+        the largest ratio of a word, and the sum of the ``TOP`` largest."""
         n = np.diff(offsets)
         own = self.of_words(values[offsets[0] : offsets[-1]])
         total = np.r_[0.0, np.cumsum(own, dtype=np.float64)]
         sums = total[offsets[1:] - offsets[0]] - total[offsets[:-1] - offsets[0]]
-        return np.c_[sums / np.sqrt(np.maximum(n, 1)), sums / np.maximum(n, 1)]
+        order = np.lexsort((-own, np.repeat(np.arange(len(n)), n)))
+        top = np.zeros((len(n), TOP))
+        for k in range(TOP):
+            some = n > k
+            top[some, k] = own[order[(offsets[:-1] - offsets[0])[some] + k]]
+        return np.c_[sums / np.sqrt(np.maximum(n, 1)), sums / np.maximum(n, 1), top[:, 0], top.sum(axis=1)]
 
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ self.weights[:-1] + self.weights[-1], -35, 35)))
 
 
-def backoff_mixture(counts: np.ndarray, shared: np.ndarray, backoff: float) -> np.ndarray:
+def backoff_mixture(counts: np.ndarray, shared: np.ndarray, backoff: float | None = None) -> np.ndarray:
     """Kneser-Ney probabilities: continuation counts less an absolute discount, and the
-    discounted mass given back in proportion to ``shared``. The discount is the one that
-    sets free the share ``backoff``, so that classes of unlike sizes back off alike."""
+    discounted mass given back in proportion to ``shared``. The discount is below one and comes
+    from the counts of counts; given ``backoff``, it is the one that sets free that share."""
     total = counts.sum()
     if not total:
         return shared
-    low, high = 0.0, float(counts.max())
-    for _ in range(60):
-        cut = (low + high) / 2
-        low, high = (cut, high) if 1 - np.maximum(counts - cut, 0).sum() / total < backoff else (low, cut)
+    if backoff is None:
+        once, twice = (counts == 1).sum(), (counts == 2).sum()
+        high = once / (once + 2 * twice) if once and twice else 0.5
+    else:
+        low, high = 0.0, float(counts.max())
+        for _ in range(60):
+            cut = (low + high) / 2
+            low, high = (cut, high) if 1 - np.maximum(counts - cut, 0).sum() / total < backoff else (low, cut)
     kept = np.maximum(counts - high, 0) / total
     return kept + (1 - kept.sum()) * shared
 
@@ -73,13 +85,13 @@ def _features(model: ToxicityModel, keep: int, names: list[str], scored: bool):
                 part = b.slice(lo, 1000)
                 lists = part.column(keep)
                 x = model.features(lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy())
-                new = [pa.array(model.score(x))] if scored else [pa.array(x[:, 0]), pa.array(x[:, 1])]
+                new = [pa.array(model.score(x))] if scored else [pa.array(c) for c in np.ascontiguousarray(x.T)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:keep], *new], names)
 
     return run
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", backoff: float = 0.9, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", credibility: float = 10.0, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
     """Fit on at most ``max_labelled`` labelled rows that are not held out.
 
     A word's continuation count is the number of documents (contexts) that hold it, so a
@@ -87,7 +99,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     the labelled rows, the shared backoff counts from all of ``docs``; fold 4 calibrates
     the score. Counts are tables keyed by the word's 64-bit hash, as many rows as there are
     words. The driver gets the words of the labelled documents, which ``max_labelled``
-    bounds: another word has no count in either class, so the same ratio in both.
+    bounds: another word has no count in either class, so the same ratio in both. A word
+    with c labelled documents keeps the share c / (c + ``credibility``) of its log-ratio:
+    no word is cut off, and one seen once weighs little, in a short sample and in a long one.
     """
     sample = F.broadcast(materialise(labelled_sample(labels, label_col, id_col, max_labelled)))  # at most max_labelled rows
     words = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
@@ -98,12 +112,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     table = own.join(every, "b").select("b", "n0", "n1", "n").toArrow().sort_by("b")  # words of the sample
     keys, *counts, shared = (table[c].to_numpy().astype(kind) for c, kind in (("b", np.int64), ("n0", float), ("n1", float), ("n", float)))
     shared = (shared + 0.5) / (total + 0.5 * size + 0.5)
-    p = [backoff_mixture(c, shared, backoff) for c in counts]
-    model = ToxicityModel(keys, (np.log(p[1]) - np.log(p[0])).astype(np.float32), np.zeros(3))
+    p = [backoff_mixture(c, shared) for c in counts]
+    seen = counts[0] + counts[1]
+    model = ToxicityModel(keys, ((np.log(p[1]) - np.log(p[0])) * seen / (seen + credibility)).astype(np.float32), np.zeros(5))
     held = words.join(sample, "__id").filter(F.col("__fold") == 4).select("__y", word_ids(F.col("__t")).alias("__w"))
-    rows = held.mapInArrow(_features(model, 1, ["y", "a", "b"], False), "y int, a double, b double").collect()  # part of the sample
-    table = np.array([(r[1], r[2], r[0]) for r in sorted(rows)]).reshape(-1, 3)
-    model.weights = logistic(table[:, :2], table[:, 2])
+    rows = held.mapInArrow(_features(model, 1, ["y", "a", "b", "c", "d"], False), "y int, a double, b double, c double, d double").collect()  # part of the sample
+    table = np.array([(*r[1:], r[0]) for r in sorted(rows)]).reshape(-1, 5)
+    model.weights = logistic(table[:, :4], table[:, 4])
     return model
 
 

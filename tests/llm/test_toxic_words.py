@@ -31,3 +31,12 @@ def test_words_of_one_bucket_are_told_apart(spark):
     new = spark.createDataFrame([(1, "word1 vile word2 vile vile"), (2, f"word1 {clean} word2 {clean} {clean}")], "doc_id long, text string")
     got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(new, model).collect()}
     assert got == {1: 1, 2: 0}
+
+
+def test_words_in_a_fiftieth_of_toxic_documents(spark):
+    docs, labels = corpus(spark, random.Random(11), 6000, [f"slur{i}" for i in range(50)])
+    got = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).filter("held_out").collect()
+    bad = [r.predicted for r in got if r.doc_id % 6 == 0]
+    good = [r.predicted for r in got if r.doc_id % 6]
+    assert sum(bad) / len(bad) > 0.9 and sum(good) / len(good) < 0.03
+    assert all(crc(r.doc_id) == 0 for r in got)
