@@ -23,9 +23,10 @@ APART = frozenset("nav header footer aside form script style noscript template i
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("body article main section div center".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words in class, id or role that mark what surrounds a main text.
+#: Words in class, id or role that mark what surrounds a main text. An id of a heading or
+#: paragraph is an anchor and says nothing.
 SIDE_WORDS = re.compile(
-    r"^(ads?|advert\w*|adverti[sz]ement|sponsor\w*|promo\w*|banner\w*|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|aside|foot\w*|header|masthead|topbar|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|subscribe|newsletter|signup|login|share|sharing|social|related|recommend\w*|trending|widget\w*|pagination|pager|comments?|commentlist|disqus|replies|respond|search|complementary|navigation|contentinfo)$"
+    r"^(ads?|adverts?|adverti[sz]ements?|adverti[sz]ing|sponsors?|sponsored|promos?|promotions?|promoted|banners?|navs?|navbar|navmenu|navlinks|menus?|menubar|breadcrumbs?|sidebars?|aside|foot|footers?|header|masthead|topbar|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|subscribe|newsletter|signup|login|share|sharing|social|related|recommended|recommendations?|trending|widgets?|pagination|pager|comments?|commentlist|disqus|replies|respond|search|complementary|navigation|contentinfo)$"
 )
 #: What a start tag closes before it opens, up to an element that shields.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tfoot", "tr", "td", "th"}, "option": {"option"}}
@@ -63,7 +64,7 @@ def _marks(tag: str, attrs: str) -> tuple[str, bool]:
         words = unescape(next((v for v in values if v), "")).lower().split()
         if key == "class":
             classes = "".join(sorted({"." + re.sub(r"\d+", "#", w) for w in words}))
-        side = side or tag not in ("html", "body", "article", "main") and any(map(_side_word, words))
+        side = side or tag not in ("html", "body", "article", "main") and not (key == "id" and (tag == "p" or tag in HEADINGS)) and any(map(_side_word, words))
     return tag + classes, side
 
 
