@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +12,18 @@ from pyspark.sql import functions as F
 
 from hourgrid.functions.storage import materialise
 from hourgrid.llm.common import crc_fold
-from hourgrid.llm.labelled import MAX_LABELLED, labelled_sample, logistic
+from hourgrid.llm.labelled import labelled_sample, logistic
 
-#: What separates words: ASCII but letters and digits, and general punctuation.
-BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-¿ -⁯　-〿]+"
-#: Words of a text with the largest ratios that are features of their own.
-TOP = 3
+#: What separates words: ASCII but letters and digits, Latin-1 signs, general and CJK punctuation.
+BREAK = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\xBF\\u2000-\\u206F\\u3000-\\u303F]+"
+#: Labelled documents that the models are fitted on at most. Their word pairs go to the driver and to the tasks, 12 bytes each.
+MAX_LABELLED = 20_000
+#: Words of a text with the largest ratios that are features of their own, and words of a span.
+TOP, SPAN = 3, 50
+#: Words whose ratios a task holds at once, and features of a text.
+SLICE_WORDS, FEATURES = 1 << 20, 11
+#: The context of a text's first word.
+START = 0
 
 
 def word_ids(text: Column) -> Column:
@@ -26,99 +32,186 @@ def word_ids(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def pair_ids(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """One 64-bit number for each word and the word before it."""
+    v = before.view(np.uint64)
+    return (((v << np.uint64(1)) | (v >> np.uint64(63))) ^ words.view(np.uint64)).view(np.int64)
+
+
+def _pair_id(before: Column, word: Column) -> Column:
+    return F.shiftleft(before, 1).bitwiseOR(F.shiftrightunsigned(before, 63)).bitwiseXOR(word)
+
+
+def _find(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value stands in sorted ``keys``, and whether it does."""
+    if not len(keys):
+        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
+    return at, keys[at] == values
+
+
 @dataclass
 class ToxicityModel:
-    """``ratio``: log P(word | toxic) - log P(word | ordinary) per word of ``keys`` (sorted hashes),
-    shrunk by how often it was seen labelled, 0 for any other; ``weights`` turn a text's features into the logit of the score."""
+    """Ratios log P(. | toxic) - log P(. | ordinary): ``ratio`` of a word of ``keys`` (sorted
+    hashes), ``context`` of the share that each model keeps for words not seen after it,
+    ``pair_ratio`` of a word of ``pairs`` after the one before it. ``unseen`` and ``start`` stand for
+    other words and for the begin of a text. ``weights`` turn features into the logit of a score."""
 
     keys: np.ndarray
     ratio: np.ndarray
-    weights: np.ndarray
-
-    def of_words(self, values: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(values), np.float32)
-        at = np.minimum(np.searchsorted(self.keys, values), len(self.keys) - 1)
-        return np.where(self.keys[at] == values, self.ratio[at], np.float32(0))
+    context: np.ndarray
+    pairs: np.ndarray
+    pair_ratio: np.ndarray
+    unseen: float = 0.0
+    start: float = 0.0
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
+
+    def of_words(self, values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ratios of words by themselves and after the word before them; ``first``: where texts begin."""
+        at, known = _find(self.keys, values)
+        alone = np.full(len(values), self.unseen)
+        alone[known] = self.ratio[at[known]]
+        share = np.zeros(len(values))
+        share[known] = self.context[at[known]]
+        begins = np.zeros(len(values), bool)
+        begins[first] = True
+        before = np.where(begins, START, np.r_[START, values[:-1]])
+        chained = alone + np.where(begins, self.start, np.r_[0.0, share[:-1]])
+        both = np.flatnonzero(known & (begins | np.r_[False, known[:-1]]))  # no other pair was seen
+        at, found = _find(self.pairs, pair_ids(before[both], values[both]))
+        chained[both[found]] = self.pair_ratio[at[found]]
+        return alone, chained
 
     def features(self, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Per text the log-likelihood ratio divided by the root of its length and by its length,
-        the largest ratio of a word, and the sum of the ``TOP`` largest."""
+        """Per text, for words alone and for words after words: the log-likelihood ratio divided
+        by its length and by the root of its length, the largest ratio of a word, the sum of
+        the ``TOP`` largest and the largest mean of ``SPAN`` words in a row; and log(1 + length)."""
+        offsets = offsets.astype(np.int64)
+        values, offsets = values[offsets[0] : offsets[-1]], offsets - offsets[0]
         n = np.diff(offsets)
-        own = self.of_words(values[offsets[0] : offsets[-1]])
-        total = np.r_[0.0, np.cumsum(own, dtype=np.float64)]
-        sums = total[offsets[1:] - offsets[0]] - total[offsets[:-1] - offsets[0]]
-        order = np.lexsort((-own, np.repeat(np.arange(len(n)), n)))
-        top = np.zeros((len(n), TOP))
-        for k in range(TOP):
-            some = n > k
-            top[some, k] = own[order[(offsets[:-1] - offsets[0])[some] + k]]
-        return np.c_[sums / np.sqrt(np.maximum(n, 1)), sums / np.maximum(n, 1), top[:, 0], top.sum(axis=1)]
+        some = np.flatnonzero(n)
+        out = np.zeros((len(n), FEATURES))
+        out[:, -1] = np.log1p(n)
+        if not len(some):
+            return out
+        length, first = n[some], offsets[:-1][some]
+        owner = np.repeat(np.arange(len(some)), length)
+        width = np.minimum(length, SPAN)
+        # A span begins wherever its text goes on for its width.
+        begins = np.flatnonzero(np.arange(len(values)) + width[owner] <= (first + length)[owner])
+        spans = np.flatnonzero(np.r_[True, owner[begins][1:] != owner[begins][:-1]])
+        for k, own in enumerate(self.of_words(values, first)):
+            total = np.r_[0.0, np.cumsum(own)]
+            sums = total[first + length] - total[first]
+            order = np.lexsort((-own, owner))
+            top = np.zeros((len(some), TOP))
+            for i in range(TOP):
+                more = length > i
+                top[more, i] = own[order[first[more] + i]]
+            means = (total[begins + width[owner[begins]]] - total[begins]) / width[owner[begins]]
+            out[some, 5 * k : 5 * k + 5] = np.c_[sums / length, sums / np.sqrt(length), top[:, 0], top.sum(axis=1), np.maximum.reduceat(means, spans)]
+        return out
 
     def score(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ self.weights[:-1] + self.weights[-1], -35, 35)))
 
 
-def backoff_mixture(counts: np.ndarray, shared: np.ndarray, backoff: float | None = None) -> np.ndarray:
-    """Kneser-Ney probabilities: continuation counts less an absolute discount, and the
-    discounted mass given back in proportion to ``shared``. The discount is below one and comes
-    from the counts of counts; given ``backoff``, it is the one that sets free that share."""
-    total = counts.sum()
-    if not total:
-        return shared
-    if backoff is None:
-        once, twice = (counts == 1).sum(), (counts == 2).sum()
-        high = once / (once + 2 * twice) if once and twice else 0.5
-    else:
-        low, high = 0.0, float(counts.max())
-        for _ in range(60):
-            cut = (low + high) / 2
-            low, high = (cut, high) if 1 - np.maximum(counts - cut, 0).sum() / total < backoff else (low, cut)
-    kept = np.maximum(counts - high, 0) / total
-    return kept + (1 - kept.sum()) * shared
-
-
-def _features(model: ToxicityModel, keep: int, names: list[str], scored: bool):
+def discount(once: float, twice: float) -> float:
+    """The absolute discount of Kneser-Ney, below one, from how many things were seen once and twice."""
+    return once / (once + 2 * twice) if once and twice else 0.5
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of about ``SLICE_WORDS`` words (a longer text is one of its own), with values and offsets of their last column, a list."""
+    for b in batches:
+        lists = b.column(b.num_columns - 1)
+        values, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        lo = 0
+        while lo < b.num_rows:
+            hi = min(max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + SLICE_WORDS, "right")) - 1), b.num_rows)
+            yield b.slice(lo, hi - lo), values, offsets[lo : hi + 1]
+            lo = hi
+
+
+def _features(model: ToxicityModel, names: list[str], scored: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                part = b.slice(lo, 1000)
-                lists = part.column(keep)
-                x = model.features(lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy())
-                new = [pa.array(model.score(x))] if scored else [pa.array(c) for c in np.ascontiguousarray(x.T)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:keep], *new], names)
+        for part, values, offsets in _slices(batches):
+            x = model.features(values, offsets)
+            new = [pa.array(model.score(x))] if scored else [pa.array(c) for c in np.ascontiguousarray(x.T)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names)
 
     return run
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", credibility: float = 10.0, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
+def count_pairs(texts: DataFrame) -> DataFrame:
+    """(``v``, ``w``, ``n0``, ``n1``): how often word w follows v in texts (``__y`` 0 or 1, ``__w`` word ids) of either class."""
+    before = F.concat(F.array(F.lit(START).cast("long")), F.col("__w"))
+    two = F.explode(F.transform("__w", lambda w, i: F.struct(F.get(before, i).alias("v"), w.alias("w")))).alias("p")
+    return texts.select("__y", two).groupBy("p.v", "p.w").agg(*[F.count(F.when(F.col("__y") == y, 1)).alias(f"n{y}") for y in (0, 1)])
+
+
+def kneser_ney(pairs: DataFrame, shared: DataFrame) -> ToxicityModel:
+    """The ratios of two interpolated Kneser-Ney models, one of each class.
+
+    ``pairs`` is of :func:`count_pairs`, ``shared`` (``w``, ``n``) has the counts that both models
+    back off to. For class y, with discounts D from that class's counts of counts,
+
+    * P(w | v) = max(n_y(v, w) - D, 0) / n_y(v) + D N_y(v .) / n_y(v) P(w), P(w) where v was not seen;
+    * P(w) = max(N_y(. w) - D, 0) / N_y(. .) + D V_y / N_y(. .) Q(w), Q(w) without any pair;
+    * Q(w) = (n(w) + 1/2) / sum of the same over all words and an unseen one,
+
+    where N_y(. w) are the distinct words before w, N_y(v .) those after v, and V_y the
+    words of the class. So an expression that a class saw rarely gets what its counts in the
+    whole corpus say, and the same in both classes if neither saw it.
+    """
+    y2 = [F.col(f"n{y}") > 0 for y in (0, 1)]
+    after = pairs.groupBy("v").agg(*[F.sum(f"n{y}").alias(f"c{y}") for y in (0, 1)], *[F.count(F.when(y2[y], 1)).alias(f"t{y}") for y in (0, 1)])
+    before = pairs.groupBy("w").agg(*[F.count(F.when(y2[y], 1)).alias(f"k{y}") for y in (0, 1)])
+    times = lambda c, n: F.count(F.when(F.col(c) == n, 1))
+    p = pairs.agg(*[times(f"n{y}", n).alias(f"{y}{n}") for y in (0, 1) for n in (1, 2)]).first()
+    b = before.agg(*[times(f"k{y}", n).alias(f"{y}{n}") for y in (0, 1) for n in (1, 2)], *[F.coalesce(F.sum(f"k{y}"), F.lit(0)).alias(f"all{y}") for y in (0, 1)], *[F.count(F.when(F.col(f"k{y}") > 0, 1)).alias(f"types{y}") for y in (0, 1)]).first()
+    total, size = shared.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    d2, d1 = [discount(p[f"{y}1"], p[f"{y}2"]) for y in (0, 1)], [discount(b[f"{y}1"], b[f"{y}2"]) for y in (0, 1)]
+    left = [d1[y] * b[f"types{y}"] / b[f"all{y}"] if b[f"all{y}"] else 1.0 for y in (0, 1)]
+    share = [F.when(F.col(f"c{y}") > 0, F.lit(d2[y]) * F.col(f"t{y}") / F.col(f"c{y}")).otherwise(F.lit(1.0)).alias(f"s{y}") for y in (0, 1)]
+    after = after.select("v", "c0", "c1", *share)
+    q = (F.col("n") + 0.5) / F.lit(total + 0.5 * size + 0.5)
+    kept = [F.greatest(F.col(f"k{y}") - F.lit(d1[y]), F.lit(0.0)) / F.lit(float(b[f"all{y}"] or 1)) for y in (0, 1)]
+    words = materialise(before.join(shared, "w").select("w", *[(kept[y] + F.lit(left[y]) * q).alias(f"u{y}") for y in (0, 1)]))
+    own = [F.when(F.col(f"c{y}") > 0, F.greatest(F.col(f"n{y}") - F.lit(d2[y]), F.lit(0.0)) / F.col(f"c{y}")).otherwise(F.lit(0.0)) + F.col(f"s{y}") * F.col(f"u{y}") for y in (0, 1)]
+    ratio = lambda a, b: (F.log(b) - F.log(a)).cast("float")
+    two = pairs.join(after, "v").join(words, "w").select(_pair_id(F.col("v"), F.col("w")).alias("k"), ratio(*own).alias("r"))
+    one = words.join(after.withColumnRenamed("v", "w"), "w", "left").select(F.col("w").alias("k"), ratio(F.col("u0"), F.col("u1")).alias("r"), F.coalesce(ratio(F.col("s0"), F.col("s1")), F.lit(0.0)).cast("float").alias("c"))
+    start = after.filter(F.col("v") == START).select(ratio(F.col("s0"), F.col("s1"))).first()
+    # Words and pairs of at most so many labelled documents as the caller has sampled.
+    one, two = one.toArrow().sort_by("k"), two.toArrow().sort_by("k")
+    return ToxicityModel(one["k"].to_numpy(), one["r"].to_numpy(), one["c"].to_numpy(), two["k"].to_numpy(), two["r"].to_numpy(), float(np.log(left[1]) - np.log(left[0])), float(start[0]) if start else 0.0)
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> ToxicityModel:
     """Fit on at most ``max_labelled`` labelled rows that are not held out.
 
-    A word's continuation count is the number of documents (contexts) that hold it, so a
-    word that one document repeats counts once. Counts per class come from folds 1 to 3 of
-    the labelled rows, the shared backoff counts from all of ``docs``; fold 4 calibrates
-    the score. Counts are tables keyed by the word's 64-bit hash, as many rows as there are
-    words. The driver gets the words of the labelled documents, which ``max_labelled``
-    bounds: another word has no count in either class, so the same ratio in both. A word
-    with c labelled documents keeps the share c / (c + ``credibility``) of its log-ratio:
-    no word is cut off, and one seen once weighs little, in a short sample and in a long one.
+    Pairs of words of folds 1 to 3 make one Kneser-Ney model of toxic and one of ordinary
+    documents (:func:`kneser_ney`); the counts that both back off to are, for each word,
+    all documents of ``docs`` that hold it, a table that grows with the corpus. Fold 4
+    calibrates the score from :meth:`ToxicityModel.features`: length-normalised
+    ratios of the whole text, and of its most telling words and span, so that a short
+    expression counts in a long text.
+
+    The driver gets words and pairs of the labelled documents, which ``max_labelled``
+    bounds. Defined cases: null ids and labels are no labels, null and empty texts have no
+    words, a repeated row of a labelled id counts each time; without labels of both
+    classes, and on empty tables, all texts of a length score alike; other columns are not read.
     """
     sample = F.broadcast(materialise(labelled_sample(labels, label_col, id_col, max_labelled)))  # at most max_labelled rows
     words = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
-    every = materialise(words.select(F.explode(F.array_distinct(word_ids(F.col("__t")))).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")))
-    total, size = every.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    own = words.join(sample, "__id").filter(F.col("__fold") < 4).select("__y", F.explode(F.array_distinct(word_ids(F.col("__t")))).alias("b"))
-    own = own.groupBy("b").agg(*[F.count(F.when(F.col("__y") == y, 1)).alias(f"n{y}") for y in (0, 1)])
-    table = own.join(every, "b").select("b", "n0", "n1", "n").toArrow().sort_by("b")  # words of the sample
-    keys, *counts, shared = (table[c].to_numpy().astype(kind) for c, kind in (("b", np.int64), ("n0", float), ("n1", float), ("n", float)))
-    shared = (shared + 0.5) / (total + 0.5 * size + 0.5)
-    p = [backoff_mixture(c, shared) for c in counts]
-    seen = counts[0] + counts[1]
-    model = ToxicityModel(keys, ((np.log(p[1]) - np.log(p[0])) * seen / (seen + credibility)).astype(np.float32), np.zeros(5))
-    held = words.join(sample, "__id").filter(F.col("__fold") == 4).select("__y", word_ids(F.col("__t")).alias("__w"))
-    rows = held.mapInArrow(_features(model, 1, ["y", "a", "b", "c", "d"], False), "y int, a double, b double, c double, d double").collect()  # part of the sample
-    table = np.array([(*r[1:], r[0]) for r in sorted(rows)]).reshape(-1, 5)
-    model.weights = logistic(table[:, :4], table[:, 4])
+    every = materialise(words.select(F.explode(F.array_distinct(word_ids(F.col("__t")))).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")))
+    own = words.join(sample, "__id").select("__y", "__fold", word_ids(F.col("__t")).alias("__w"))
+    model = kneser_ney(materialise(count_pairs(own.filter("__fold < 4"))), every)
+    names = [f"f{i}" for i in range(FEATURES)]
+    held = own.filter("__fold = 4").select("__y", "__w").mapInArrow(_features(model, ["y", *names], False), f"y int, {', '.join(f'{n} double' for n in names)}")
+    table = np.array(sorted(held.collect())).reshape(-1, FEATURES + 1)  # part of the sample
+    model.weights = logistic(table[:, 1:], table[:, 0])
     return model
 
 
@@ -127,11 +220,13 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     grows with the odds that the toxic model wrote the text; ``predicted`` is score >= 0.5.
 
     Only the text enters the score. No shuffle: the model, of bounded size, goes with the
-    tasks. Defined cases: null and empty texts get the score of a text without evidence;
-    repeated rows get equal scores; null ids are not held out and never labelled.
+    tasks; a task holds the ratios of about a million words, or of one longer text.
+    Defined cases: null and empty texts get the score of a text without evidence; repeated
+    rows get equal scores; null ids are not held out and never labelled; an empty table
+    gives an empty table; other columns are left out, whatever their names.
     """
     held_out = (crc_fold(F.col(id_col)) == 0) & F.col(id_col).isNotNull()
     rows = docs.select(F.col(id_col), held_out.alias("held_out"), word_ids(F.col(text_col)).alias("__w"))
     schema = docs.select(F.col(id_col), held_out.alias("held_out"), F.lit(0.0).alias("score")).schema
-    scored = rows.mapInArrow(_features(model, 2, [id_col, "held_out", "score"], True), schema)
+    scored = rows.mapInArrow(_features(model, [id_col, "held_out", "score"], True), schema)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
