@@ -54,29 +54,29 @@ def _find(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class ToxicityModel:
     """Ratios log P(. | toxic) - log P(. | ordinary): ``ratio`` of a word of ``keys`` (sorted
     hashes), ``context`` of the share that each model keeps for words not seen after it,
-    ``pair_ratio`` of a word of ``pairs`` after the one before it. ``unseen`` and ``start`` stand for
-    other words and for the begin of a text. ``weights`` turn features into the logit of a score."""
+    ``pair_ratio`` of a word of ``pairs`` after the one before it, ``start`` of the begin of a
+    text. A word that no labelled text holds says nothing, ratio 0: what a model keeps for it
+    follows from how many texts of a class there are. ``weights`` turn features into the logit of a score."""
 
     keys: np.ndarray
     ratio: np.ndarray
     context: np.ndarray
     pairs: np.ndarray
     pair_ratio: np.ndarray
-    unseen: float = 0.0
     start: float = 0.0
     weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
 
     def of_words(self, values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ratios of words by themselves and after the word before them; ``first``: where texts begin."""
         at, known = _find(self.keys, values)
-        alone = np.full(len(values), self.unseen)
+        alone = np.zeros(len(values))
         alone[known] = self.ratio[at[known]]
         share = np.zeros(len(values))
         share[known] = self.context[at[known]]
         begins = np.zeros(len(values), bool)
         begins[first] = True
         before = np.where(begins, START, np.r_[START, values[:-1]])
-        chained = alone + np.where(begins, self.start, np.r_[0.0, share[:-1]])
+        chained = alone + np.where(known, np.where(begins, self.start, np.r_[0.0, share[:-1]]), 0.0)
         both = np.flatnonzero(known & (begins | np.r_[False, known[:-1]]))  # no other pair was seen
         at, found = _find(self.pairs, pair_ids(before[both], values[both]))
         chained[both[found]] = self.pair_ratio[at[found]]
@@ -145,8 +145,8 @@ def _features(model: ToxicityModel, names: list[str], scored: bool):
 
 def count_pairs(texts: DataFrame) -> DataFrame:
     """(``v``, ``w``, ``n0``, ``n1``): how often word w follows v in texts (``__y`` 0 or 1, ``__w`` word ids) of either class."""
-    before = F.concat(F.array(F.lit(START).cast("long")), F.col("__w"))
-    two = F.explode(F.transform("__w", lambda w, i: F.struct(F.get(before, i).alias("v"), w.alias("w")))).alias("p")
+    before = lambda i: F.coalesce(F.get("__w", i - 1), F.lit(START).cast("long"))
+    two = F.explode(F.transform("__w", lambda w, i: F.struct(before(i).alias("v"), w.alias("w")))).alias("p")
     return texts.select("__y", two).groupBy("p.v", "p.w").agg(*[F.count(F.when(F.col("__y") == y, 1)).alias(f"n{y}") for y in (0, 1)])
 
 
@@ -185,7 +185,7 @@ def kneser_ney(pairs: DataFrame, shared: DataFrame) -> ToxicityModel:
     start = after.filter(F.col("v") == START).select(ratio(F.col("s0"), F.col("s1"))).first()
     # Words and pairs of at most so many labelled documents as the caller has sampled.
     one, two = one.toArrow().sort_by("k"), two.toArrow().sort_by("k")
-    return ToxicityModel(one["k"].to_numpy(), one["r"].to_numpy(), one["c"].to_numpy(), two["k"].to_numpy(), two["r"].to_numpy(), float(np.log(left[1]) - np.log(left[0])), float(start[0]) if start else 0.0)
+    return ToxicityModel(one["k"].to_numpy(), one["r"].to_numpy(), one["c"].to_numpy(), two["k"].to_numpy(), two["r"].to_numpy(), float(start[0]) if start else 0.0)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> ToxicityModel:
@@ -200,8 +200,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
     The driver gets words and pairs of the labelled documents, which ``max_labelled``
     bounds. Defined cases: null ids and labels are no labels, null and empty texts have no
-    words, a repeated row of a labelled id counts each time; without labels of both
-    classes, and on empty tables, all texts of a length score alike; other columns are not read.
+    words, very long ones are counted whole, a repeated row of a labelled id counts each
+    time; without labels of both classes, and on empty tables, all texts of a length score
+    alike; other columns are not read, whatever their names.
     """
     sample = F.broadcast(materialise(labelled_sample(labels, label_col, id_col, max_labelled)))  # at most max_labelled rows
     words = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))

@@ -1,0 +1,114 @@
+"""Toxicity models, features and scores against a plain implementation with dicts."""
+
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from hourgrid.llm import toxicity
+
+RNG = random.Random(21)
+POOL = [f"w{i}" for i in range(40)]
+TEXTS = [(i, int(i % 3 == 0), " ".join(RNG.choice(POOL[: 12 if i % 3 == 0 else 40]) for _ in range(RNG.choice([0, 1, 7, 60])))) for i in range(50)]
+
+
+def words(text):
+    return [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
+
+
+def discount(counts):
+    once, twice = sum(n == 1 for n in counts), sum(n == 2 for n in counts)
+    return once / (once + 2 * twice) if once and twice else 0.5
+
+
+class Plain:
+    """An interpolated Kneser-Ney bigram model of texts, with unigram counts shared by both classes below."""
+
+    def __init__(self, texts, shared):
+        self.two = Counter(p for t in texts for p in zip(["^", *words(t)], words(t)))
+        self.after, self.types = Counter(), Counter()
+        self.before = Counter(w for _, w in self.two)
+        for (v, _), n in self.two.items():
+            self.after[v] += n
+            self.types[v] += 1
+        self.shared, self.all = shared, sum(shared.values())
+        self.d2, self.d1 = discount(self.two.values()), discount(self.before.values())
+
+    def q(self, w):
+        return (self.shared.get(w, 0) + 0.5) / (self.all + 0.5 * len(self.shared) + 0.5)
+
+    def one(self, w):
+        n = sum(self.before.values())
+        return max(self.before[w] - self.d1, 0) / n + self.d1 * len(self.before) / n * self.q(w)
+
+    def p(self, v, w):
+        if not self.after[v]:
+            return self.one(w)
+        return max(self.two[v, w] - self.d2, 0) / self.after[v] + self.d2 * self.types[v] / self.after[v] * self.one(w)
+
+
+@pytest.fixture(scope="module")
+def models(spark):
+    docs = spark.createDataFrame([(y, t) for _, y, t in TEXTS], "__y int, t string").select("__y", toxicity.word_ids(F.col("t")).alias("__w"))
+    shared = docs.select(F.explode(F.array_distinct("__w")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    model = toxicity.kneser_ney(toxicity.count_pairs(docs), shared)
+    counts = Counter(w for _, _, t in TEXTS for w in set(words(t)))
+    return model, [Plain([t for _, y, t in TEXTS if y == c], counts) for c in (0, 1)]
+
+
+def ids(spark, text):
+    return np.array(spark.createDataFrame([(text,)], "t string").select(toxicity.word_ids(F.col("t"))).first()[0], np.int64)
+
+
+def test_probabilities_sum_to_one(models):
+    for plain in models[1]:
+        for v in ["^", "w1", "w30", "never"]:
+            assert sum(plain.p(v, w) for w in POOL) + plain.p(v, "unseen") == pytest.approx(1)
+
+
+def test_ratios_of_words(spark, models):
+    model, (ordinary, toxic) = models
+    for text in ["w1 w2 w3 w1 w1 w35 w2", "w39 never w3 w3", "never", *[t for _, _, t in TEXTS[:12] if t]]:
+        own = words(text)
+        alone, chained = model.of_words(ids(spark, text), np.array([0]))
+        seen = [w in POOL for w in own]  # others have a ratio of 0
+        assert alone == pytest.approx([math.log(toxic.one(w) / ordinary.one(w)) if s else 0.0 for s, w in zip(seen, own)], abs=1e-5)
+        assert chained == pytest.approx([math.log(toxic.p(v, w) / ordinary.p(v, w)) if s else 0.0 for s, v, w in zip(seen, ["^", *own], own)], abs=1e-5)
+
+
+def test_features_and_scores(spark, models):
+    model, _ = models
+    model.weights = np.linspace(-1, 1, toxicity.FEATURES + 1)
+    texts = ["", "w1", "w5 w6 " * 70, "w39 w38 w37 never", " ".join(POOL * 9)]
+    lists = [ids(spark, t) for t in texts]
+    values, offsets = np.concatenate([[7], *lists, [9]]), np.cumsum([1, *map(len, lists)])
+    got = model.features(values, offsets)
+    for row, own in zip(got, lists, strict=True):
+        want = []
+        for r in model.of_words(own, np.array([0])) if len(own) else ():
+            span = min(len(own), toxicity.SPAN)
+            means = [r[i : i + span].mean() for i in range(len(own) - span + 1)]
+            want += [r.mean(), r.sum() / math.sqrt(len(own)), r.max(), sum(sorted(r)[-toxicity.TOP :]), max(means)]
+        want = [*want, *[0.0] * (10 - len(want)), math.log1p(len(own))]
+        assert row == pytest.approx(want, abs=1e-9)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    assert [scores[i] for i in range(len(texts))] == pytest.approx(list(1 / (1 + np.exp(-np.clip(got @ model.weights[:-1] + model.weights[-1], -35, 35)))))
+
+
+def test_a_very_long_text_and_slices(spark, models, monkeypatch):
+    model, _ = models
+    docs = spark.createDataFrame([(1, "w1 w2 w3 " * 100_000), (2, "w1"), (3, None)], "doc_id long, text string")
+    one = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()}
+    monkeypatch.setattr(toxicity, "SLICE_WORDS", 2)
+    assert {r.doc_id: r.score for r in toxicity.score_toxicity(docs, model).collect()} == one
+
+
+def test_counts_of_pairs(spark):
+    rows = spark.createDataFrame([(0, [5, 6, 5]), (1, [5, 6]), (1, [])], "__y int, __w array<bigint>")
+    got = {(r.v, r.w): (r.n0, r.n1) for r in toxicity.count_pairs(rows).collect()}
+    assert got == {(0, 5): (1, 1), (5, 6): (1, 1), (6, 5): (1, 0)}

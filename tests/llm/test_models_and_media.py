@@ -61,13 +61,6 @@ def test_toxicity_edge_rows(spark, toxic):
     assert toxicity.score_toxicity(frame(spark, []), toxicity.fit_toxicity(frame(spark, []), labels)).count() == 0
 
 
-def test_backoff_shares_the_discounted_mass():
-    shared = np.array([0.5, 0.3, 0.2])
-    p = toxicity.backoff_mixture(np.array([10.0, 1.0, 0.0]), shared, 0.5)
-    assert p.sum() == pytest.approx(1) and p[2] == pytest.approx(0.5 * 0.2) and p[0] > 0.5
-    assert toxicity.backoff_mixture(np.zeros(3), shared, 0.5).tolist() == shared.tolist()
-
-
 # -- quality
 
 
