@@ -1,4 +1,4 @@
-"""Near copies by exact shingle similarity: a prefix-filtered self-join, nothing sampled."""
+"""Near copies by SimHash fingerprints, completed by exact shingle similarity: nothing sampled."""
 
 from __future__ import annotations
 
@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from hourgrid.functions.storage import materialise
 from hourgrid.llm.common import blank_words, lower_word, row_key, small
 from hourgrid.llm.components import components
-from hourgrid.llm.simhash import shingle_hashes
+from hourgrid.llm.simhash import link_prints, prints_of, shingle_hashes
 
 #: A text that many pairs name is dealt to so many tasks when its pairs are confirmed.
 SALTS = 8
 #: Prefixes are longer than the bound asks by one shingle in so many, and more than one must be shared.
 MORE = 16
+#: Words of 64 bits in the bitmap of a shingle set.
+BITMAP = 8
 
 
 def _least(n: Column, similarity: float) -> Column:
@@ -46,6 +48,22 @@ def prefix(shingles: Column, similarity: float) -> Column:
     return F.slice(F.sort_array(shingles), 1, n - _least(n, similarity) + F.ceil(n / MORE).cast("int"))
 
 
+def bitmap(hashes: str) -> Column:
+    """``BITMAP`` longs: a bit is 1 if an odd number of the hashes fall to it. The bitmaps of two
+    sets differ in at most as many bits as the sets in members."""
+    own = f"filter({hashes}, h -> (shiftrightunsigned(h, 6) & {BITMAP - 1}) = j)"
+    return F.expr(f"transform(sequence(0, {BITMAP - 1}), j -> aggregate({own}, 0L, (a, h) -> a ^ shiftleft(1L, cast(h & 63 as int))))")
+
+
+def _possible(similarity: float) -> Column:
+    """Whether two texts of a group can share enough: by their numbers of shingles that occur
+    elsewhere, by what follows the group's shingle, and by the bits in which bitmaps differ."""
+    need = F.lit(similarity / (1 + similarity)) * (F.col("__n") + F.col("__n2")) - F.lit(1e-9)
+    differ = sum((F.bit_count(F.col("__bits")[j].bitwiseXOR(F.col("__bits2")[j])) for j in range(BITMAP)), F.lit(0))
+    rest = F.least(F.col("__c") - F.col("__at"), F.col("__c2") - F.col("__at2"))
+    return (rest >= need) & ((F.col("__c") + F.col("__c2") - differ) / 2 >= need)
+
+
 def link_texts(some: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Links (a < b) between texts whose shingle sets have a Jaccard similarity of at least
     ``similarity``; the components of the links are those of all such pairs.
@@ -56,8 +74,8 @@ def link_texts(some: DataFrame, similarity: float = 0.8) -> DataFrame:
 
     In each group of a prefix shingle, all are compared with the member whose shingles are
     the most common, usually what the others were copied from. Only pairs that this leaves in
-    different components are compared after it, so a large group of copies costs about
-    one comparison a member.
+    different components, and whose bitmaps differ in few enough bits, are compared after
+    it, so a large group of copies costs about one comparison a member.
     """
     every = some.select("__k", "__n", F.explode("__s").alias("__t"))
     often = every.groupBy("__t").agg(F.count(F.lit(1)).alias("__df")).filter("__df > 1")
@@ -65,11 +83,11 @@ def link_texts(some: DataFrame, similarity: float = 0.8) -> DataFrame:
     sets = ordered.select("__k", "__n", F.size("__l").alias("__c"), (F.col("__w") * F.size("__l") / F.col("__n")).alias("__w"), F.col("__l.__t").alias("__s"))
     sets = materialise(sets.filter(F.col("__c") >= _least(F.col("__n"), similarity)))
     rare = F.slice("__s", 1, F.col("__c") - _least(F.col("__n"), similarity) + 1)
-    groups = materialise(sets.select("__k", "__n", "__c", "__w", F.explode(rare).alias("__t")))
+    groups = materialise(sets.select("__k", "__n", "__c", "__w", bitmap("__s").alias("__bits"), F.posexplode(rare).alias("__at", "__t")))
     # Round one: everyone against the most common member of the group.
-    heads = groups.groupBy("__t").agg(F.max(F.struct("__w", "__k", "__n", "__c")).alias("__h"), F.count(F.lit(1)).alias("__m")).filter("__m > 1")
-    heads = small(materialise(heads.select("__t", F.col("__h.__k").alias("a"), F.col("__h.__n").alias("__n2"), F.col("__h.__c").alias("__c2"))))
-    possible = F.least("__c", "__c2") + F.lit(1e-9) >= F.lit(similarity / (1 + similarity)) * (F.col("__n") + F.col("__n2"))
+    heads = groups.groupBy("__t").agg(F.max(F.struct("__w", "__k", "__n", "__c", "__at", "__bits")).alias("__h"), F.count(F.lit(1)).alias("__m")).filter("__m > 1")
+    heads = small(materialise(heads.select("__t", F.col("__h.__k").alias("a"), F.col("__h.__n").alias("__n2"), F.col("__h.__c").alias("__c2"), F.col("__h.__at").alias("__at2"), F.col("__h.__bits").alias("__bits2"))))
+    possible = _possible(similarity)
     near = groups.join(heads, "__t").filter((F.col("a") != F.col("__k")) & possible).select("a", F.col("__k").alias("b")).distinct()
     links = materialise(_confirm(materialise(near), sets, similarity))
     # Round two: what round one left in different components of one group.
@@ -77,30 +95,43 @@ def link_texts(some: DataFrame, similarity: float = 0.8) -> DataFrame:
     named = groups.join(roots, "__k", "left").withColumn("__r", F.coalesce("__r", "__k"))
     open_ = named.groupBy("__t").agg(F.min("__r").alias("__lo"), F.max("__r").alias("__hi")).filter("__lo < __hi").select("__t")
     named = materialise(named.join(small(materialise(open_)), "__t", "left_semi"))
-    other = named.select("__t", F.col("__k").alias("b"), F.col("__r").alias("__r2"), F.col("__n").alias("__n2"), F.col("__c").alias("__c2"))
+    other = named.select("__t", F.col("__k").alias("b"), F.col("__r").alias("__r2"), F.col("__n").alias("__n2"), F.col("__c").alias("__c2"), F.col("__at").alias("__at2"), F.col("__bits").alias("__bits2"))
     met = named.join(other, "__t").filter((F.col("__k") < F.col("b")) & (F.col("__r") != F.col("__r2")) & possible)
     rest = materialise(met.select(F.col("__k").alias("a"), "b").distinct())
     return links.union(_confirm(rest, sets, similarity))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each component of texts whose sets of ``shingle``-word
-    shingles (A-Z lowered, words between white space) have a Jaccard similarity of at least
-    ``similarity``: that of the least id (null last; of equal ids the one of least key).
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, budget: int = 2) -> DataFrame:
+    """``docs`` with one document of each component of near copies: that of the least id (null
+    last; of equal ids the one of least key).
+
+    Two texts are linked if their SimHash fingerprints over ``shingle``-word shingles (A-Z
+    lowered, words between white space) differ in at most ``budget`` bits, found by the trie
+    self-join, or if their sets of those shingles have a Jaccard similarity of at least
+    ``similarity``. Most pairs of that similarity differ in 3 to 13 bits of 64, more than
+    fingerprints can be joined by, so an exact prefix-filtered join finds the others.
 
     Texts of the same words are one text, named by a 64-bit hash, before any join. Only
     texts that the prefix filter leaves are read again with all their shingles.
 
     Defined cases: null, empty and blank texts are one text; a text of fewer than
-    ``shingle`` words is one shingle; repeated rows are one document; an empty table
-    gives an empty table.
+    ``shingle`` words is one shingle; very long texts are taken whole; repeated rows are one
+    document; an empty table gives an empty table; other columns are kept as they are.
     """
     words = F.transform(blank_words(F.col(text_col)), lower_word)
     rows = docs.select(F.col(id_col).alias("__id"), row_key(F.col(id_col), F.col(text_col)).alias("__rk"), words.alias("__words"))
-    rows = rows.select("*", F.array_distinct(shingle_hashes("__words", shingle)).alias("__s"))
-    rows = materialise(rows.select("__id", "__rk", F.xxhash64(F.array_join("__words", " ")).alias("__k"), F.size("__s").alias("__n"), prefix(F.col("__s"), similarity).alias("__p")))
+    rows = rows.select("__id", "__rk", F.xxhash64(F.array_join("__words", " ")).alias("__k"), shingle_hashes("__words", shingle).alias("__h"))
+    rows = rows.select("*", F.array_distinct("__h").alias("__s")).select("__id", "__rk", "__k", F.size("__s").alias("__n"), prefix(F.col("__s"), similarity).alias("__p"), "__h")
+    rows = materialise(prints_of(rows))
     order = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__rk").alias("key"))
-    firsts = materialise(rows.groupBy("__k").agg(F.min(order).alias("__o")))
+    firsts = materialise(rows.groupBy("__k").agg(F.min(order).alias("__o"), F.first("__print").alias("__print")))
+    # Links of fingerprints, between the least text of each.
+    prints = materialise(firsts.groupBy("__print").agg(F.min("__k").alias("__first")))
+    near = link_prints(prints.select("__print"), budget)
+    ends = [prints.select(F.col("__print").alias(c), F.col("__first").alias(f"__{c}")) for c in ("a", "b")]
+    near = near.join(ends[0], "a").join(ends[1], "b").select(F.least("__a", "__b").alias("a"), F.greatest("__a", "__b").alias("b"))
+    same = firsts.join(prints, "__print").select(F.col("__first").alias("a"), F.col("__k").alias("b")).filter("a < b")
+    # Links of similarity.
     named = firsts.select("__k", F.col("__o.key").alias("__rk"))
     # Repeated rows come several times here, which only leaves more of them in.
     once = rows.join(small(named.select("__rk")), "__rk", "left_semi").filter("__n > 0").select("__k", "__n", "__p")
@@ -108,7 +139,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     read = docs.select(row_key(F.col(id_col), F.col(text_col)).alias("__rk"), F.col(text_col).alias("__text")).join(small(some), "__rk")
     read = read.select("__k", F.transform(blank_words(F.col("__text")), lower_word).alias("__words")).select("__k", F.array_distinct(shingle_hashes("__words", shingle)).alias("__s"))
     texts = materialise(read.dropDuplicates(["__k"]).select("__k", F.size("__s").alias("__n"), "__s"))
-    roots = components(link_texts(texts, similarity))
+    roots = components(link_texts(texts, similarity).union(near).union(same))
     of = firsts.join(roots, F.col("__k") == F.col("node"), "left").withColumn("__r", F.coalesce("root", "__k"))
     keep = of.groupBy("__r").agg(F.min("__o").alias("__o")).select(F.col("__o.key").alias("__rk"))
     return docs.withColumn("__rk", row_key(F.col(id_col), F.col(text_col))).join(keep, "__rk", "left_semi").dropDuplicates(["__rk"]).drop("__rk")

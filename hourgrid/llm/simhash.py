@@ -53,7 +53,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         for lo in range(0, b.num_rows, 1000):
             part = b.slice(lo, 1000)
             lists = part.column(part.num_columns - 1)
-            prints = majority(lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy())
+            prints = majority(lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy().astype(np.int64))
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(prints.view(np.int64))], [*part.schema.names[:-1], "__print"])
 
 
@@ -62,8 +62,12 @@ def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shing
 
     Words and hashes are made by Spark's own functions; numpy counts bits over batches."""
     words = F.transform(blank_words(F.col(text_col)), lower_word)
-    hashed = docs.select(*keep, words.alias("__w")).select(*keep, shingle_hashes("__w", shingle).alias("__h"))
-    schema = docs.select(*keep, F.lit(0).cast("long").alias("__print")).schema
+    return prints_of(docs.select(*keep, words.alias("__w")).select(*keep, shingle_hashes("__w", shingle).alias("__h")))
+
+
+def prints_of(hashed: DataFrame) -> DataFrame:
+    """``hashed`` with its last column, shingle hashes, replaced by their ``__print``."""
+    schema = hashed.select(*hashed.columns[:-1], F.lit(0).cast("long").alias("__print")).schema
     return hashed.mapInArrow(_fingerprint_batches, schema)
 
 
