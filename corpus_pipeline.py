@@ -29,9 +29,9 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts whose five-word shingles are similar by 0.8 or
-    more. Fingerprints of 64 bits differ in up to 11 bits and more at that similarity, too
-    many for their trie join, so the stage compares the shingles themselves."""
+    """One document of each component of near copies: texts whose SimHash fingerprints of
+    five-word shingles differ in two bits or fewer, or whose shingles are similar by 0.8 or more.
+    Repeated rows are one document; empty and null texts are copies of each other."""
     return drop_copies(docs).select(*docs.columns)
 
 
