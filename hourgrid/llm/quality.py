@@ -18,8 +18,6 @@ from hourgrid.llm.labelled import MAX_LABELLED, labelled_sample
 BUCKETS = 10_000
 #: A token: letters and digits, or a run of other signs.
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
-#: Tokens of the text that a document's log-weight stands for, whatever its own length.
-REFERENCE_TOKENS = 1000
 
 
 def token_hashes(text: Column) -> Column:
@@ -38,17 +36,14 @@ def ngram_buckets(values: np.ndarray, offsets: np.ndarray, buckets: int = BUCKET
 
 @dataclass
 class QualityModel:
-    """``ratio``: log p(target) - log p(raw) per bucket. ``cut``: the least mean ratio of a
-    text that is taken for target-like."""
+    """``ratio``: log p(target) - log p(raw) per bucket."""
 
     ratio: np.ndarray
-    cut: float = 0.0
 
-    def mean(self, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def log_ratio(self, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """log p(text | target) - log p(text | raw): the sum over the text's n-grams."""
         bucket, owner = ngram_buckets(values, offsets, len(self.ratio))
-        n = len(offsets) - 1
-        count = np.bincount(owner, minlength=n)
-        return np.bincount(owner, self.ratio[bucket], n) / np.maximum(count, 1)
+        return np.bincount(owner, self.ratio[bucket], len(offsets) - 1).astype(np.float64)
 
 
 def _slices(batches: Iterator[pa.RecordBatch], size: int = 1000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -74,19 +69,24 @@ def _count(buckets: int):
     return run
 
 
-def _means(model: QualityModel, names: list[str]):
+def _ratios(model: QualityModel, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, values, offsets in _slices(batches):
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(model.mean(values, offsets))], names)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(model.log_ratio(values, offsets))], names)
 
     return run
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", buckets: int = BUCKETS, max_labelled: int = MAX_LABELLED) -> QualityModel:
-    """Two hashed n-gram models: raw from all of ``docs``, target from the documents with label
-    1 among at most ``max_labelled`` labelled rows that are not held out. ``cut`` is where
-    the mean log-ratio agrees with those labels: of the cuts whose agreement is within one
-    standard error of the best (labels err), the one in the middle of the widest gap."""
+    """Two hashed n-gram models, each count of a bucket plus one: raw from all of ``docs``, target
+    from the documents with label 1 among at most ``max_labelled`` labelled rows that are
+    not held out. Labels say which texts the target is, nothing else is fitted to them.
+
+    Counts are summed in each task and come to the driver as ``buckets`` rows. Defined cases:
+    null ids and labels are no labels; null and empty texts have no n-grams, long ones are
+    counted whole; a repeated row counts each time; without good labels, and on empty
+    tables, all ratios follow from the raw counts alone; other columns are not read.
+    """
     sample = F.broadcast(materialise(labelled_sample(labels, label_col, id_col, max_labelled)))  # at most max_labelled rows
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t"))
     marked = rows.join(sample, "__id", "left").select(F.coalesce(F.col("__y") == 1, F.lit(False)).alias("t"), token_hashes(F.col("__t")).alias("__h"))
@@ -95,49 +95,43 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     for b, raw, target in counts:
         table[b] = raw, target
     p = (table + 1) / (table + 1).sum(axis=0)
-    model = QualityModel(np.log(p[:, 1]) - np.log(p[:, 0]))
-    own = rows.join(sample, "__id").select("__y", token_hashes(F.col("__t")).alias("__h"))
-    seen = np.array(sorted((r[1], r[0]) for r in own.mapInArrow(_means(model, ["y", "m"]), "y int, m double").collect())).reshape(-1, 2)  # the sample
-    if len(seen):
-        # Right on each side of a cut before row i: rows below with label 0, the others with label 1.
-        right = np.r_[0, np.cumsum(seen[:, 1] == 0)] + np.r_[np.cumsum((seen[:, 1] == 1)[::-1])[::-1], 0]
-        good = right >= right.max() - np.sqrt(right.max() * (1 - right.max() / len(seen)))
-        gaps = np.where(good[1:-1], np.diff(seen[:, 0]), -1.0)
-        if len(gaps) and gaps.max() > 0:
-            model.cut = float(seen[gaps.argmax() : gaps.argmax() + 2, 0].mean())
-        else:
-            model.cut = float(seen[0, 0])
-    return model
-
-
-def resample(docs: DataFrame, model: QualityModel, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", seed: str = "quality") -> DataFrame:
+    return QualityModel(np.log(p[:, 1]) - np.log(p[:, 0]))
+
+
+def resample(docs: DataFrame, model: QualityModel, k: int | None = None, temperature: float = 1.0, cap: float = 0.0, id_col: str = "doc_id", text_col: str = "text", seed: str = "quality") -> DataFrame:
     """All columns of ``docs`` and, added or replaced: ``log_weight`` (double), ``noisy_weight``
     (log_weight plus a Gumbel variate of a seeded hash of the row) and ``selected``: whether
     the row is among the ``k`` of largest ``noisy_weight``, a sample of ``k`` without
     replacement in proportion to exp(log_weight).
 
-    ``log_weight`` is the text's mean log-ratio of target and raw, less the model's cut, for
-    a text of ``REFERENCE_TOKENS`` tokens; so lengths don't decide. Without ``k``, as many
-    rows are selected as have log_weight >= 0. A text that is far below the cut then has
-    practically no chance, one far above it is practically always kept.
-
-    The k-th weight is found from counts per narrow bin and the rows of one bin; rows are
-    never sorted as a whole, texts are shuffled once, by row. Defined cases: null and empty
-    texts have the mean ratio 0; repeated rows get equal weights, and at the boundary both
-    or neither are selected; an empty table gives an empty table.
+    ``log_weight`` is log p(text | target) - log p(text | raw), divided by ``temperature`` and
+    truncated at ``cap``. Importance weights of texts grow exponentially with their length;
+    without truncation the longest texts of the target's kind would crowd out all others, so
+    a text that the target explains at least as well as the raw corpus has weight 1 by default.
+    A larger temperature lets more of the less likely texts in.
+
+    Without ``k``, as many rows are taken as rejection sampling by the same weights would
+    accept: the sum of min(1, exp(log_weight)). The k-th weight is found from counts per
+    narrow bin and the rows of one bin; rows are never sorted as a whole, texts are
+    shuffled once, by row.
+
+    Defined cases: null and empty texts have log-ratio 0; very long ones are weighed whole;
+    repeated rows get equal weights, and at the boundary both or neither are selected; an
+    empty table gives an empty table; columns that begin with two underscores are not for
+    callers, other names may clash.
     """
     rows = docs.withColumn("__rk", row_key(F.col(id_col), F.col(text_col)))
     u = unit_hash(F.lit(seed), F.col("__rk"))
-    means = rows.select("__rk", u.alias("__u"), token_hashes(F.col(text_col)).alias("__h")).mapInArrow(_means(model, ["__rk", "__u", "__m"]), "__rk string, __u double, __m double")
-    weight = (F.col("__m") - model.cut) * REFERENCE_TOKENS
-    means = means.select("__rk", weight.alias("log_weight"), (weight - F.log(-F.log("__u"))).alias("noisy_weight"), F.lit(0).alias("__s"), F.lit(1).alias("__one"))
+    sums = rows.select("__rk", u.alias("__u"), token_hashes(F.col(text_col)).alias("__h")).mapInArrow(_ratios(model, ["__rk", "__u", "__m"]), "__rk string, __u double, __m double")
+    weight = F.least(F.col("__m") / float(temperature), F.lit(float(cap)))
+    sums = sums.select("__rk", weight.alias("log_weight"), (weight - F.log(-F.log("__u"))).alias("noisy_weight"), F.lit(0).alias("__s"), F.lit(1).alias("__one"))
     # A log-scale in both directions, largest weight first.
     key = -F.signum("noisy_weight") * F.log1p(F.abs("noisy_weight"))
-    means = materialise(means.withColumn("__key", key))
-    if k is None:
-        k = means.filter("log_weight >= 0").count()
+    sums = materialise(sums.withColumn("__key", key))
+    if k is None:  # decimals add up alike in any order
+        k = int(sums.agg(F.coalesce(F.sum(F.exp(F.least("log_weight", F.lit(0.0))).cast("decimal(18,12)")), F.lit(0))).first()[0])
     budget = docs.sparkSession.createDataFrame([(0, float(k))], "__s int, __k double")
-    cut = budget_cut(means, "__s", "__key", "__rk", "__one", budget, "__k")
-    marked = means.dropDuplicates(["__rk"]).join(F.broadcast(cut), F.col("__s") == F.col("__g"), "left")  # one row
+    cut = budget_cut(sums, "__s", "__key", "__rk", "__one", budget, "__k")
+    marked = sums.dropDuplicates(["__rk"]).join(F.broadcast(cut), F.col("__s") == F.col("__g"), "left")  # one row
     marked = marked.select("__rk", "log_weight", "noisy_weight", within(F.col("__key"), F.col("__rk")).alias("selected"))
     return rows.drop("log_weight", "noisy_weight", "selected").join(marked, "__rk").drop("__rk")
