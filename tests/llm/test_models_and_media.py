@@ -301,7 +301,7 @@ def test_stages_against_brute_force(spark, junk, tmp_path):
     rows += [(3000 + i, rows[1][1], "en", "s2", 0) for i in range(5)] + [(4000, prose(rng, 30) + " " + item, "en", "s0", 0)]
     folder = str(tmp_path / "in")
     frame(spark, rows).write.parquet(f"{folder}/documents.parquet")
-    labels.union(spark.createDataFrame([(i, 1, 0) for i in [*range(2000, 2030), 4000]], labels.schema)).write.parquet(f"{folder}/labels.parquet")
+    labels.union(spark.createDataFrame([(i, 1, 0) for i in [*range(2000, 2030), *range(3000, 3005), 4000]], labels.schema)).write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     table = spark.read.parquet(f"{folder}/documents.parquet")
     kept = []
