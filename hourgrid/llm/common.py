@@ -69,14 +69,15 @@ def crc_fold(col: Column) -> Column:
 def budget_cut(rows: DataFrame, group: str, key: str, tie: str, size: str, budgets: DataFrame, budget: str) -> DataFrame:
     """Per group, where rows in ascending (``key``, ``tie``) order use up a budget of ``size``.
 
-    Returns ``__g``, ``__edge`` (long), ``__cut`` (struct of key and tie, or null): a row
-    is within the budget if :func:`within` says so. The row at the cut is within if that
-    leaves the total nearer to the budget.
+    Returns ``__g``, ``__edge`` (long), ``__cut`` (struct of key and tie, or null), ``__copies``
+    and ``__fit`` (long): a row is within the budget if :func:`within` says so, but of the
+    ``__copies`` rows at the cut itself only ``__fit`` are. A row fits if that leaves the
+    total nearer to the budget. Rows that agree in key and tie must agree in size.
 
     Keys are dealt to narrow value bins. Bin totals, a few thousand per group, are summed
-    in order; only rows of the one bin in which the budget runs out are sorted. So no
-    group is sorted as a whole, even if it has a third of all rows. ``key`` must be on a
-    log-scale, a unit makes 256 bins.
+    in order; only keys of the one bin in which the budget runs out are sorted, each with
+    the number of its rows. So no group is sorted as a whole, even if it has a third of
+    all rows. ``key`` must be on a log-scale, a unit makes 256 bins.
     """
     ordered = Window.partitionBy("__g")
     bins = rows.groupBy(F.col(group).alias("__g"), _bin(F.col(key)).alias("__bin")).agg(F.sum(size).alias("__sum"))
@@ -87,9 +88,15 @@ def budget_cut(rows: DataFrame, group: str, key: str, tie: str, size: str, budge
     edges = materialise(edges.select("__g", *[F.col("__e").getField(f).alias(n) for f, n in (("__bin", "__edge"), ("col2", "__start"), ("__budget", "__budget"))]))
     inside = rows.select(F.col(group).alias("__g1"), F.struct(F.col(key).alias("key"), F.col(tie).alias("tie")).alias("__key"), F.col(size).alias("__size"))
     inside = inside.join(small(edges), F.col("__g1").eqNullSafe(F.col("__g")) & (_bin(F.col("__key.key")) == F.col("__edge")))
-    before = F.col("__start") + F.sum("__size").over(ordered.orderBy("__key").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__size")
-    cuts = inside.withColumn("__fits", before + F.col("__size") / 2 <= F.col("__budget")).groupBy(F.col("__g").alias("__g3")).agg(F.max(F.when(F.col("__fits"), F.col("__key"))).alias("__cut"))
-    return edges.join(cuts, F.col("__g").eqNullSafe(F.col("__g3")), "left").select("__g", "__edge", "__cut")
+    inside = inside.groupBy("__g", "__start", "__budget", "__key", "__size").agg(F.count(F.lit(1)).alias("__copies"))
+    all_ = F.col("__size") * F.col("__copies")
+    before = F.col("__start") + F.sum(all_).over(ordered.orderBy("__key").rowsBetween(Window.unboundedPreceding, 0)) - all_
+    left = F.col("__budget") - before - F.col("__size") / 2
+    fit = F.when(left < 0, 0).when(F.col("__size") > 0, F.least(F.floor(left / F.col("__size")) + 1, F.col("__copies"))).otherwise(F.col("__copies"))
+    last = F.max(F.when(F.col("__fit") > 0, F.struct("__key", "__copies", "__fit"))).alias("__last")
+    cuts = inside.withColumn("__fit", fit).groupBy(F.col("__g").alias("__g3")).agg(last)
+    named = [F.col("__last").getField(f).alias(n) for f, n in (("__key", "__cut"), ("__copies", "__copies"), ("__fit", "__fit"))]
+    return edges.join(cuts, F.col("__g").eqNullSafe(F.col("__g3")), "left").select("__g", "__edge", *named)
 
 
 def _bin(key: Column) -> Column:

@@ -8,17 +8,24 @@ from pyspark.sql import functions as F
 from hourgrid.functions.storage import materialise
 from hourgrid.llm.common import blank_words, budget_cut, small, unit_hash, within
 
+
+#: The mean length of the tokens of prose, with the blank after each.
+PROSE = 6.0
+
+
 def n_tokens(text: Column) -> Column:
     """Runs of characters other than space and U+0009 to U+000D; null has none."""
     return F.size(blank_words(text)).cast("long")
 
 
-def quality_weight(size: Column, text: Column) -> Column:
-    """The mixing query's stand-in for a document's quality, 0.1 to 1: how near the mean
-    length of its tokens, with the blank after each, is to that of prose (6 characters).
+def quality_weight(words: Column, text: Column) -> Column:
+    """A document's quality, 0.1 to 1, from its text alone: Herdan's C, the logarithm of the number
+    of distinct words by that of all words, which hardly depends on length and is near 0 for
+    what is repeated on and on, times how near the mean length of words is to that of prose.
     A null or empty text has 0.1. Any other column can be given instead."""
-    mean = F.char_length(text) / F.greatest(size, F.lit(1))
-    return F.coalesce(F.when(size > 0, F.greatest(F.lit(1.0) / (F.lit(1.0) + F.abs(mean - 6.0) / 6.0), F.lit(0.1))), F.lit(0.1))
+    n, mean = F.size(words), F.char_length(text) / F.greatest(F.size(words), F.lit(1))
+    varied = F.when(n > 1, F.log(F.size(F.array_distinct(words))) / F.log(n)).otherwise(F.lit(1.0))
+    return F.coalesce(F.when(n > 0, F.greatest(varied / (F.lit(1.0) + F.abs(mean - PROSE) / PROSE), F.lit(0.1))), F.lit(0.1))
 
 
 def cycle_weights(sources: DataFrame, source_col: str, weights: tuple[float, ...]) -> DataFrame:
@@ -64,13 +71,15 @@ def mix_sources(docs: DataFrame, weights: DataFrame | tuple[float, ...], id_col:
     source are made, a second one applies those. See :func:`budget_cut` for large sources.
 
     Defined cases: a null source is a source of its own, last in order; a null or empty
-    text has size 0, is taken 0 words; repeated rows tie and are told apart by nothing, so
-    both or neither are taken; an empty table gives an empty table.
+    text has size 0, is taken 0 words; a long text is one document, taken whole or not;
+    rows that agree in id and text tie, and if the budget ends among them, as many are taken
+    as it pays for; an empty table gives an empty table; columns that begin with two
+    underscores are not for callers.
     """
-    rows = docs.drop("source_size", "target", "times", "taken").withColumn("size", n_tokens(F.col(text_col)))
+    rows = docs.drop("source_size", "target", "times", "taken").withColumn("__words", blank_words(F.col(text_col))).withColumn("size", F.size("__words").cast("long"))
     u = unit_hash(F.lit(seed), F.col(id_col), F.md5(F.col(text_col)))
     # ln of the exponential key: the same order, on a scale that spreads evenly.
-    rows = rows.withColumn("__key", F.log(-F.log(u)) - F.log(quality_weight(F.col("size"), F.col(text_col)) if quality is None else quality))
+    rows = rows.withColumn("__key", F.log(-F.log(u)) - F.log(quality_weight(F.col("__words"), F.col(text_col)) if quality is None else quality)).drop("__words")
     rows = rows.withColumn("__tie", F.struct(F.col(id_col).cast("string").alias("id"), F.md5(F.col(text_col)).alias("h")))
     narrow = materialise(rows.select(F.col(source_col).alias("__s"), "size", "__key", "__tie"))
     sizes = materialise(narrow.groupBy("__s").agg(F.sum("size").alias("source_size")))
@@ -83,8 +92,33 @@ def mix_sources(docs: DataFrame, weights: DataFrame | tuple[float, ...], id_col:
     plan = plan.withColumn("__epochs", epochs).withColumn("__rest", F.col("target") - F.col("__epochs") * F.col("source_size"))
     cut = budget_cut(narrow, "__s", "__key", "__tie", "size", plan, "__rest")
     plan = plan.join(cut, F.col("__s").eqNullSafe(F.col("__g")), "left").drop("__g")
-    out = rows.join(small(plan.select("__s", "source_size", "target", "__epochs", "__rest", "__edge", "__cut")), F.col(source_col).eqNullSafe(F.col("__s")), "left")
-    more = F.when((F.col("__rest") > 0) & within(F.col("__key"), F.col("__tie")), 1).otherwise(0)
-    out = out.withColumn("times", (F.coalesce("__epochs", F.lit(0)) + more).cast("int"))
+    plan = materialise(plan.select("__s", "source_size", "target", "__epochs", "__rest", "__edge", "__cut", "__copies", "__fit"))
+    out = rows.join(small(plan), F.col(source_col).eqNullSafe(F.col("__s")), "left")
+    more = (F.col("__rest") > 0) & within(F.col("__key"), F.col("__tie"))
+    out = out.withColumn("__more", F.coalesce(more.cast("int"), F.lit(0)))
+    if plan.filter("__rest > 0 and __fit < __copies").limit(1).count():
+        cut_key = F.struct(F.col("__key").alias("key"), F.col("__tie").alias("tie"))
+        parted = F.coalesce((F.col("__rest") > 0) & (F.col("__fit") < F.col("__copies")) & (cut_key == F.col("__cut")), F.lit(False))
+        out = out.filter(~parted).unionByName(_first_of_equals(out.filter(parted)))
+    out = out.withColumn("times", (F.coalesce("__epochs", F.lit(0)) + F.col("__more")).cast("int"))
     out = out.withColumns({"source_size": F.coalesce("source_size", F.lit(0)).cast("long"), "target": F.coalesce("target", F.lit(0.0)), "taken": F.col("size") * F.col("times")})
-    return out.drop("__s", "__epochs", "__rest", "__edge", "__cut", "__key", "__tie")
+    return out.drop("__s", "__epochs", "__rest", "__edge", "__cut", "__copies", "__fit", "__key", "__tie", "__more")
+
+
+def _first_of_equals(equals: DataFrame) -> DataFrame:
+    """Rows that tie at the cut of their source (``__s``), with ``__more`` 1 for the first ``__fit`` of each source.
+
+    Rows are written, so that each has a place: its file and its number there. Files are
+    summed in order, and places are sorted in the one file of a source where ``__fit`` is
+    reached; a hot group of equals is never gathered."""
+    kept = materialise(equals)
+    rows = kept.select("*", F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__at"))
+    upto = Window.partitionBy("__s").orderBy("__file").rowsBetween(Window.unboundedPreceding, 0)
+    files = rows.groupBy("__s", "__fit", "__file").agg(F.count(F.lit(1)).alias("__n")).withColumn("__end", F.sum("__n").over(upto))
+    edge = files.filter(F.col("__end") >= F.col("__fit")).groupBy("__s", "__fit").agg(F.min_by(F.struct("__file", (F.col("__fit") - F.col("__end") + F.col("__n")).alias("__k")), "__end").alias("__e"))
+    edge = materialise(edge.select(F.col("__s").alias("__s2"), F.col("__e.__file").alias("__last"), F.col("__e.__k").alias("__k")))
+    there = rows.join(small(edge), F.col("__s").eqNullSafe(F.col("__s2")) & (F.col("__file") == F.col("__last")))
+    place = there.groupBy("__s2", "__last", "__k").agg(F.sort_array(F.collect_list("__at")).alias("__places")).select("__s2", "__last", F.get("__places", F.col("__k").cast("int") - 1).alias("__to"))
+    out = rows.join(small(materialise(place)), F.col("__s").eqNullSafe(F.col("__s2")), "left")
+    first = (F.col("__file") < F.col("__last")) | ((F.col("__file") == F.col("__last")) & (F.col("__at") <= F.col("__to")))
+    return out.withColumn("__more", F.coalesce(first.cast("int"), F.lit(0))).select(*equals.columns)

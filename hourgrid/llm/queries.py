@@ -125,12 +125,12 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 
 OP10_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+  SELECT doc_id, source, len(w)::BIGINT AS size, CASE WHEN len(w) > 1 THEN ln(len(list_distinct(w))::DOUBLE) / ln(len(w)::DOUBLE) ELSE 1.0::DOUBLE END AS varied,
     md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(md5(text), '')) AS h, coalesce(md5(text), '') AS m, length(text) AS n
-  FROM documents
+  FROM (SELECT *, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)
 ), k AS (
   SELECT *, ln(-ln((('0x' || substr(h, 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE))
-    - ln(CASE WHEN size > 0 THEN greatest(1.0::DOUBLE / (1.0::DOUBLE + abs(n::DOUBLE / size::DOUBLE - 6.0::DOUBLE) / 6.0::DOUBLE), 0.1::DOUBLE) ELSE 0.1::DOUBLE END) AS key FROM d
+    - ln(CASE WHEN size > 0 THEN greatest(varied / (1.0::DOUBLE + abs(n::DOUBLE / size::DOUBLE - 6.0::DOUBLE) / 6.0::DOUBLE), 0.1::DOUBLE) ELSE 0.1::DOUBLE END) AS key FROM d
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size, [3.0::DOUBLE, 1, 2][((row_number() OVER (ORDER BY source COLLATE "C" ASC NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY source
 ), f AS (
