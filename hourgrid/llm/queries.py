@@ -13,7 +13,7 @@ from hourgrid.llm.html_main import extract_main_text
 from hourgrid.llm.line_dedup import dedup_lines
 from hourgrid.llm.mixing import mix_sources
 from hourgrid.llm.quality import fit_quality, resample
-from hourgrid.llm.secrets import scan_secrets
+from hourgrid.llm.secrets import NAMES, scan_secrets
 from hourgrid.llm.simhash import near_duplicates
 from hourgrid.llm.tokens import apply_edits, build_trees
 from hourgrid.llm.toxicity import fit_toxicity, score_toxicity
@@ -46,12 +46,12 @@ def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of every document. The tables hold no reviewed findings, so labels
-    follow a stated rule: a value assigned to a name such as token is a finding (1), a
-    number or a part of an address is a false positive (0), anything else is unlabelled."""
+    follow a stated rule: a value assigned to a name of a credential is a finding (1), what
+    no sign of assignment precedes is a false positive (0), anything else is unlabelled. Names
+    and signs are hidden from the forest."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    assigned = F.col("before").rlike(r"(token|secret|password|passwd|key)$") & F.col("sign").rlike("[\"']")
-    label = F.when(assigned, 1).when(F.col("candidate").rlike("^[0-9]+$") | F.col("sign").rlike("[@./]$"), 0)
-    found = scan_secrets(docs, label=label)
+    named, assigned = F.col("before").rlike(rf"{NAMES}$"), F.col("sign").rlike("[=:]")
+    found = scan_secrets(docs, label=F.when(named & assigned, 1).when(~assigned, 0), hide=rf"{NAMES}$")
     return found.select("doc_id", "pos", F.sha2("candidate", 256).alias("candidate_sha256"), F.char_length("candidate").cast("long").alias("n_chars"), "label", "score", "is_secret")
 
 
