@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
@@ -13,7 +16,11 @@ from pyspark.sql import functions as F
 from hourgrid.functions.storage import materialise
 from hourgrid.llm.common import small
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: What begins at a "<": a comment, a declaration, or a tag with its attributes. Attributes end at
+#: ">", at the next "<" outside quotes, or with the page; a quote that is never closed is a character.
+_TAG = re.compile(r"""<(?:!--(?P<note>)|[!?]|(?P<end>/?)(?P<tag>[a-zA-Z][^\s/<>]*)(?P<attrs>[^<>"']*+(?:(?:"[^"]*"|'[^']*'|["'])[^<>"']*+)*+)>?)""")
+#: A slash before ">" that is not the end of an unquoted value.
+_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*\Z""")
 _ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 #: Elements without content, elements of raw text, and elements that never belong to a main text.
@@ -23,6 +30,8 @@ APART = frozenset("nav header footer aside form script style noscript template i
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("body article main section div center".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Characters of the least run of text that counts as running text, and the share of it that a best container may leave out.
+PROSE_CHARS, LEFT_OUT = 25, 0.05
 #: Words in class, id or role that mark what surrounds a main text. An id of a heading or
 #: paragraph is an anchor and says nothing.
 SIDE_WORDS = re.compile(
@@ -35,12 +44,49 @@ SHIELDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table
 ENDS_P = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
 
 
+#: Where an open paragraph stays open for what follows.
+P_SHIELDS = frozenset("td th button table".split())
+
+
 class Node:
-    __slots__ = ("tag", "name", "side", "parts", "parent")
+    """An element. ``key`` stands for its path of names, ``p`` for the open paragraph around it,
+    ``near`` for the outermost open element, by tag of ``CLOSES``, that this tag would close."""
+
+    __slots__ = ("tag", "name", "side", "parts", "parent", "key", "p", "near")
 
     def __init__(self, tag: str, name: str, side: bool, parent: Node | None) -> None:
         self.tag, self.name, self.side, self.parent = tag, name, side, parent
         self.parts: list[Node | str] = []
+        self.key = hash((parent.key, name)) if parent else 0
+        self.p = self if tag == "p" else parent.p if parent and tag not in P_SHIELDS else None
+        self.near: dict[str, Node | None] = parent.near if parent else {}
+        if tag in _NEAR:
+            own = dict(self.near)
+            for k in CLOSES:
+                if tag in SHIELDS.get(k, ()):
+                    own[k] = None
+                if tag in CLOSES[k] and own.get(k) is None:
+                    own[k] = self
+            self.near = own
+
+    @property
+    def path(self) -> str:
+        names, node = [], self
+        while node.parent is not None:
+            names.append(node.name)
+            node = node.parent
+        return ">".join(reversed(names))
+
+
+_NEAR = frozenset().union(*CLOSES.values(), *SHIELDS.values())
+
+
+def path_key(path: str) -> int:
+    """The ``key`` of nodes at a path, in this process."""
+    key = 0
+    for name in path.split(">") if path else ():
+        key = hash((key, name))
+    return key
 
 
 #: A class that begins or ends so says something about its element's surroundings or state.
@@ -63,61 +109,67 @@ def _marks(tag: str, attrs: str) -> tuple[str, bool]:
             continue
         words = unescape(next((v for v in values if v), "")).lower().split()
         if key == "class":
-            classes = "".join(sorted({"." + re.sub(r"\d+", "#", w) for w in words}))
+            classes = "".join(sorted({"." + re.sub(r"\d+", "#", w).replace(">", "_") for w in words}))
         side = side or tag not in ("html", "body", "article", "main") and not (key == "id" and (tag == "p" or tag in HEADINGS)) and any(map(_side_word, words))
     return tag + classes, side
 
 
 def parse(html: str) -> Node:
-    """A lenient tree of a page: unclosed and misnested tags are closed as their kind asks."""
+    """A lenient tree of a page: unclosed and misnested tags are closed as their kind asks. Time
+    and memory grow with the page's length, whatever stands in it."""
     root = here = Node("", "", False, None)
     at, n = 0, len(html)
+    opened: Counter[str] = Counter()
+    raw_ends: dict[str, re.Pattern] = {}
+
+    def leave(upto: Node) -> Node:
+        """Closes from ``here`` up to and with ``upto``."""
+        node = here
+        while node is not upto:
+            opened[node.tag] -= 1
+            node = node.parent
+        opened[node.tag] -= 1
+        return node.parent
+
     while at < n:
-        m = _TAG.search(html, at)
-        if m is None:
+        start = html.find("<", at)
+        if start < 0:
             break
-        if m.start() > at:
-            here.parts.append(html[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        m = _TAG.match(html, start)
+        if m is None:  # no tag: a character
+            here.parts.append(html[at : start + 1])
+            at = start + 1
+            continue
+        if start > at:
+            here.parts.append(html[at:start])
+        if m["tag"] is None:
+            close = html.find("-->" if m["note"] is not None else ">", m.end())
+            at = n if close < 0 else close + (3 if m["note"] is not None else 1)
             continue
-        tag = tag.lower()
-        if m[1]:
-            up = here
-            while up.parent is not None and up.tag != tag:
-                up = up.parent
-            if up.parent is not None:
-                here = up.parent
+        at, tag = m.end(), m["tag"].lower()
+        if m["end"]:
+            if opened[tag]:
+                up = here
+                while up.tag != tag:
+                    up = up.parent
+                here = leave(up)
             continue
-        shut = CLOSES.get(tag, frozenset())
-        shield = SHIELDS.get(tag, frozenset())
-        if tag in ENDS_P:
-            up = here
-            while up.parent is not None and up.tag != "p" and up.tag not in ("td", "th", "button", "table"):
-                up = up.parent
-            if up.tag == "p":
-                here = up.parent
-        if shut:
-            up, last = here, None
-            while up.parent is not None and up.tag not in shield:
-                if up.tag in shut:
-                    last = up
-                up = up.parent
-            if last is not None:
-                here = last.parent
-        name, side = _marks(tag, m[3])
+        if tag in ENDS_P and here.p is not None:
+            here = leave(here.p)
+        if tag in CLOSES and here.near.get(tag) is not None:
+            here = leave(here.near[tag])
+        name, side = _marks(tag, m["attrs"])
         node = Node(tag, name, side, here)
         here.parts.append(node)
         if tag in RAW:
-            end = re.compile(f"</{tag}", re.I).search(html, at)
-            at = end.start() if end else n
-        elif tag not in VOID and not m[3].endswith("/") or tag in CONTAINERS:
-            if tag not in VOID:
-                here = node
-        if tag in RAW and at < n:
-            close = html.find(">", at)
+            if tag not in raw_ends:
+                raw_ends[tag] = re.compile(f"</{re.escape(tag)}", re.I)
+            end = raw_ends[tag].search(html, at)
+            close = html.find(">", end.start()) if end else -1
             at = close + 1 if close >= 0 else n
+        elif tag not in VOID and (tag in CONTAINERS or not _CLOSED.search(m["attrs"])):
+            here = node
+            opened[tag] += 1
     if at < n:
         here.parts.append(html[at:])
     return root
@@ -158,46 +210,84 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-def containers(root: Node) -> list[tuple[float, str, Node]]:
-    """(score, generalised path, node) of the containers outside the page's surroundings, in
-    page order. Text counts in full for the container that holds its paragraph and for the
-    nearest article or main around it, and by half for the container above; text of links
-    counts against them."""
-    found: list[list] = []
-    stack: list[tuple[Node, str, int, int, int, bool]] = [(root, "", -1, -1, -1, False)]
+@dataclass
+class Container:
+    """``score`` by :func:`containers`; ``prose``: characters of the running text inside it, outside
+    links; ``above``: the number of the container around it, or -1."""
+
+    node: Node
+    above: int
+    bonus: float
+    score: float = 0.0
+    prose: int = 0
+
+
+def containers(root: Node) -> list[Container]:
+    """The containers outside the page's surroundings, in page order. Text counts in full for
+    the score of the container that holds its paragraph and of the nearest article or main
+    around it, and by half for the container above; text of links counts against them."""
+    found: list[Container] = []
+    stack: list[tuple[Node, int, int, int, bool]] = [(root, -1, -1, -1, False)]
     while stack:
-        node, path, own, above, story, linked = stack.pop()
+        node, own, above, story, linked = stack.pop()
         if node.side:
             continue
         if node.parent is not None:
-            path = f"{path}>{node.name}" if path else node.name
             linked = linked or node.tag == "a"
             if node.tag in CONTAINERS:
                 own, above = len(found), own
                 whole = node.tag in ("article", "main")
                 story = own if whole else story
-                found.append([0.0, path, node, 1.3 if whole else 1.0])
-        n = sum(len(part.strip()) for part in node.parts if isinstance(part, str))
+                found.append(Container(node, above, 1.3 if whole else 1.0))
+        sizes = [len(part.strip()) for part in node.parts if isinstance(part, str)]
+        n = sum(sizes)
         if n and own >= 0:
             gain = -n if linked else n
             for i in {own, story} - {-1}:
-                found[i][0] += gain
+                found[i].score += gain
             if above not in (-1, story):
-                found[above][0] += gain / 2
-        stack += [(part, path, own, above, story, linked) for part in reversed(node.parts) if not isinstance(part, str)]
-    return [(score * bonus, path, node) for score, path, node, bonus in found]
+                found[above].score += gain / 2
+            if not linked and max(sizes) >= PROSE_CHARS:
+                found[own].prose += n
+        stack += [(part, own, above, story, linked) for part in reversed(node.parts) if not isinstance(part, str)]
+    for c in found:
+        c.score *= c.bonus
+    for c in reversed(found):
+        if c.above >= 0:
+            found[c.above].prose += c.prose
+    return found
+
+
+def widen(best: Container, all_: list[Container]) -> Container:
+    """The lowest container around ``best`` that leaves out less than ``LEFT_OUT`` of the page's
+    running text: an article may be laid out as several unlike containers. An article or main
+    element that holds most of it is one as it is."""
+    total = sum(c.prose for c in all_ if c.above < 0)
+    around = best
+    while around.prose < (1 - LEFT_OUT) * total and around.above >= 0:
+        if around.bonus > 1 and 2 * around.prose >= total:
+            break
+        around = all_[around.above]
+    return around
+
+
+def best_of(all_: list[Container]) -> Container | None:
+    best = max(all_, key=lambda c: c.score, default=None)
+    return best and widen(best, all_)
 
 
 def main_text(root: Node, path: str | None = None) -> str:
-    """Blocks of the containers at ``path``, in page order; without any, of the best one."""
+    """Blocks of the containers at ``path``, in page order; of the page's own best one if there
+    are none, or if they hold less than half of its running text."""
     all_ = containers(root)
-    best = max(all_, key=lambda c: c[0], default=None)
+    best = best_of(all_)
     if best is None:
         return "\n".join(blocks(root))
-    chosen = [c for c in all_ if c[1] == path]
-    if not chosen or sum(c[0] for c in chosen) < best[0] / 10:
+    key = path_key(path) if path is not None else None
+    chosen = [c for c in all_ if c.node.key == key]
+    if not chosen or 2 * sum(c.prose for c in chosen) < best.prose or 10 * sum(c.score for c in chosen) < best.score:
         chosen = [best]
-    return "\n".join(b for c in chosen for b in blocks(c[2]))
+    return "\n".join(b for c in chosen for b in blocks(c.node))
 
 
 def host_of(url: Column) -> Column:
@@ -206,17 +296,22 @@ def host_of(url: Column) -> Column:
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, vote): a page gives its best containers shares of one vote by score."""
+    """(host, path, vote): a page votes for its best container and, by their scores, for the next two."""
     for b in batches:
         hosts, paths, votes = [], [], []
-        for lo in range(0, b.num_rows, 200):
-            part = b.slice(lo, 200)
+        for lo in range(0, b.num_rows, 20):
+            part = b.slice(lo, 20)
             for host, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                good = sorted(((s, p) for s, p, _ in containers(parse(html or "")) if s > 0), reverse=True)[:3]
-                for s, p in good:
+                all_ = containers(parse(html or ""))
+                best = best_of(all_)
+                good = heapq.nlargest(3, (c for c in all_ if c.score > 0), key=lambda c: c.score)
+                shares = {c.node.key: (c.node.path, c.score / good[0].score) for c in good}
+                if good:
+                    shares[best.node.key] = (best.node.path, 1.0)
+                for p, share in shares.values():
                     hosts.append(host)
                     paths.append(p)
-                    votes.append(round(1000 * s / good[0][0]))
+                    votes.append(round(1000 * share))
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(votes, pa.int64())], ["host", "path", "vote"])
 
 
@@ -228,14 +323,16 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     classes, digits dropped). Votes are summed per host and path before and after the
     shuffle, so a large host is a few rows; the path with most votes wins (of equals the
     first by code points). Pages are then extracted by their host's path; one on which it
-    is missing, or holds under a tenth of the page's best container, goes by its own best.
+    is missing, or holds less than half of the running text, goes by its own best.
 
     Blocks of the text are joined by line feeds; white space inside a block is one blank;
     menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
     comments are left out by element and by words in class, id and role.
 
     Defined cases: null html is empty and gives ''; pages without a host vote together; a
-    page without containers gives all its text; repeated rows stay.
+    page without containers gives all its text; long pages are read whole, in time and
+    memory that grow with their length; repeated rows stay; an empty table gives an empty
+    table; a column named ``__host`` is not for callers.
     """
     rest = [c for c in pages.columns if c not in (html_col, "text", "n_chars", "path")]
     hosted = pages.select(host_of(F.col(url_col)).alias("__host"), *rest, html_col)

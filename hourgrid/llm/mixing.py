@@ -13,10 +13,6 @@ from hourgrid.llm.common import blank_words, budget_cut, small, unit_hash, withi
 PROSE = 6.0
 
 
-def n_tokens(text: Column) -> Column:
-    """Runs of characters other than space and U+0009 to U+000D; null has none."""
-    return F.size(blank_words(text)).cast("long")
-
 
 def quality_weight(words: Column, text: Column) -> Column:
     """A document's quality, 0.1 to 1, from its text alone: Herdan's C, the logarithm of the number
