@@ -8,12 +8,10 @@ from pyspark.sql import functions as F
 from hourgrid.functions.storage import materialise
 from hourgrid.llm.common import blank_words, budget_cut, small, unit_hash, within
 
-
 #: The mean length of the tokens of prose, with the blank after each.
 PROSE = 6.0
 
 
-
 def quality_weight(words: Column, text: Column) -> Column:
     """A document's quality, 0.1 to 1, from its text alone: Herdan's C, the logarithm of the number
     of distinct words by that of all words, which hardly depends on length and is near 0 for
