@@ -16,7 +16,7 @@ from hourgrid.llm.labelled import labelled_sample, logistic
 
 #: What separates words: ASCII but letters and digits, Latin-1 signs, general and CJK punctuation.
 BREAK = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\xBF\\u2000-\\u206F\\u3000-\\u303F]+"
-#: Labelled documents that the models are fitted on at most. Their word pairs go to the driver and to the tasks, 12 bytes each.
+#: Labelled documents that the models are fitted on at most. Their word pairs go to the driver and to the tasks, 16 bytes each.
 MAX_LABELLED = 20_000
 #: Words of a text with the largest ratios that are features of their own, and words of a span.
 TOP, SPAN = 3, 50
@@ -43,43 +43,47 @@ def _pair_id(before: Column, word: Column) -> Column:
 
 
 def _find(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each value stands in sorted ``keys``, and whether it does."""
-    if not len(keys):
-        return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+    """Where each value stands in sorted ``keys``, at least one, and whether it does."""
     at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
     return at, keys[at] == values
 
 
 @dataclass
 class ToxicityModel:
-    """Ratios log P(. | toxic) - log P(. | ordinary): ``ratio`` of a word of ``keys`` (sorted
-    hashes), ``context`` of the share that each model keeps for words not seen after it,
-    ``pair_ratio`` of a word of ``pairs`` after the one before it, ``start`` of the begin of a
-    text. A word that no labelled text holds says nothing, ratio 0: what a model keeps for it
-    follows from how many texts of a class there are. ``weights`` turn features into the logit of a score."""
+    """Two Kneser-Ney models, see :func:`kneser_ney`; row 0 is of ordinary, row 1 of toxic documents.
+
+    ``keys`` are the sorted hashes of words, ``START`` among them; by word, ``unigram`` has P(w),
+    ``times`` how often it was followed by another and ``share`` what is kept then for words
+    not seen after it. ``pairs`` are sorted hashes of word pairs, ``seen`` their counts. A
+    word that no labelled text holds says nothing, ratio 0: what a model keeps for it
+    follows from how many texts of a class there are. ``weights`` turn features into the logit
+    of a score."""
 
     keys: np.ndarray
-    ratio: np.ndarray
-    context: np.ndarray
+    unigram: np.ndarray
+    times: np.ndarray
+    share: np.ndarray
     pairs: np.ndarray
-    pair_ratio: np.ndarray
-    start: float = 0.0
+    seen: np.ndarray
+    discounts: tuple[float, float] = (0.5, 0.5)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
 
     def of_words(self, values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ratios of words by themselves and after the word before them; ``first``: where texts begin."""
+        """Log-ratios log P(. | toxic) - log P(. | ordinary) of words by themselves and after the
+        word before them; ``first``: where texts begin."""
+        alone, chained = np.zeros(len(values)), np.zeros(len(values))
         at, known = _find(self.keys, values)
-        alone = np.zeros(len(values))
-        alone[known] = self.ratio[at[known]]
-        share = np.zeros(len(values))
-        share[known] = self.context[at[known]]
-        begins = np.zeros(len(values), bool)
-        begins[first] = True
-        before = np.where(begins, START, np.r_[START, values[:-1]])
-        chained = alone + np.where(known, np.where(begins, self.start, np.r_[0.0, share[:-1]]), 0.0)
-        both = np.flatnonzero(known & (begins | np.r_[False, known[:-1]]))  # no other pair was seen
-        at, found = _find(self.pairs, pair_ids(before[both], values[both]))
-        chained[both[found]] = self.pair_ratio[at[found]]
+        known &= values != START
+        u = self.unigram[:, at[known]]
+        alone[known] = np.log(u[1]) - np.log(u[0])
+        before = np.r_[START, values[:-1]]
+        before[first] = START
+        v, found = _find(self.keys, before[known])
+        times, share = np.where(found, self.times[:, v], 0.0), np.where(found, self.share[:, v], 1.0)
+        pair, found = _find(self.pairs, pair_ids(before[known], values[known]))
+        kept = np.maximum(np.where(found, self.seen[:, pair], 0.0) - np.array(self.discounts)[:, None], 0.0)
+        p = kept / np.maximum(times, 1.0) + share * u
+        chained[known] = np.log(p[1]) - np.log(p[0])
         return alone, chained
 
     def features(self, values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -151,7 +155,7 @@ def count_pairs(texts: DataFrame) -> DataFrame:
 
 
 def kneser_ney(pairs: DataFrame, shared: DataFrame) -> ToxicityModel:
-    """The ratios of two interpolated Kneser-Ney models, one of each class.
+    """Two interpolated Kneser-Ney models, one of each class.
 
     ``pairs`` is of :func:`count_pairs`, ``shared`` (``w``, ``n``) has the counts that both models
     back off to. For class y, with discounts D from that class's counts of counts,
@@ -174,18 +178,17 @@ def kneser_ney(pairs: DataFrame, shared: DataFrame) -> ToxicityModel:
     d2, d1 = [discount(p[f"{y}1"], p[f"{y}2"]) for y in (0, 1)], [discount(b[f"{y}1"], b[f"{y}2"]) for y in (0, 1)]
     left = [d1[y] * b[f"types{y}"] / b[f"all{y}"] if b[f"all{y}"] else 1.0 for y in (0, 1)]
     share = [F.when(F.col(f"c{y}") > 0, F.lit(d2[y]) * F.col(f"t{y}") / F.col(f"c{y}")).otherwise(F.lit(1.0)).alias(f"s{y}") for y in (0, 1)]
-    after = after.select("v", "c0", "c1", *share)
+    after = after.select(F.col("v").alias("w"), "c0", "c1", *share)
     q = (F.col("n") + 0.5) / F.lit(total + 0.5 * size + 0.5)
     kept = [F.greatest(F.col(f"k{y}") - F.lit(d1[y]), F.lit(0.0)) / F.lit(float(b[f"all{y}"] or 1)) for y in (0, 1)]
-    words = materialise(before.join(shared, "w").select("w", *[(kept[y] + F.lit(left[y]) * q).alias(f"u{y}") for y in (0, 1)]))
-    own = [F.when(F.col(f"c{y}") > 0, F.greatest(F.col(f"n{y}") - F.lit(d2[y]), F.lit(0.0)) / F.col(f"c{y}")).otherwise(F.lit(0.0)) + F.col(f"s{y}") * F.col(f"u{y}") for y in (0, 1)]
-    ratio = lambda a, b: (F.log(b) - F.log(a)).cast("float")
-    two = pairs.join(after, "v").join(words, "w").select(_pair_id(F.col("v"), F.col("w")).alias("k"), ratio(*own).alias("r"))
-    one = words.join(after.withColumnRenamed("v", "w"), "w", "left").select(F.col("w").alias("k"), ratio(F.col("u0"), F.col("u1")).alias("r"), F.coalesce(ratio(F.col("s0"), F.col("s1")), F.lit(0.0)).cast("float").alias("c"))
-    start = after.filter(F.col("v") == START).select(ratio(F.col("s0"), F.col("s1"))).first()
+    words = before.join(shared, "w").select("w", *[(kept[y] + F.lit(left[y]) * q).alias(f"u{y}") for y in (0, 1)])
+    words = words.join(after, "w", "full").select("w", *[F.coalesce(f"{c}{y}", F.lit(d)).cast("double").alias(f"{c}{y}") for c, d in (("u", 1.0), ("c", 0.0), ("s", 1.0)) for y in (0, 1)])
     # Words and pairs of at most so many labelled documents as the caller has sampled.
-    one, two = one.toArrow().sort_by("k"), two.toArrow().sort_by("k")
-    return ToxicityModel(one["k"].to_numpy(), one["r"].to_numpy(), one["c"].to_numpy(), two["k"].to_numpy(), two["r"].to_numpy(), float(start[0]) if start else 0.0)
+    one = words.toArrow().sort_by("w")
+    two = pairs.select(_pair_id(F.col("v"), F.col("w")).alias("k"), *[F.col(f"n{y}").cast("float") for y in (0, 1)]).toArrow().sort_by("k")
+    column = lambda t, c, none: t[c].to_numpy() if len(t) else np.array([none])
+    both = lambda t, c, none: np.stack([column(t, f"{c}{y}", none) for y in (0, 1)])
+    return ToxicityModel(column(one, "w", START), both(one, "u", 1.0), both(one, "c", 0.0), both(one, "s", 1.0), column(two, "k", 0), both(two, "n", 0.0), tuple(d2))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> ToxicityModel:
