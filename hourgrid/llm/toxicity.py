@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourgrid.functions.storage import materialise
@@ -16,8 +17,10 @@ from hourgrid.llm.labelled import labelled_sample, logistic
 
 #: What separates words: ASCII but letters and digits, Latin-1 signs, general and CJK punctuation.
 BREAK = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\xBF\\u2000-\\u206F\\u3000-\\u303F]+"
-#: Labelled documents that the models are fitted on at most. Their word pairs go to the driver and to the tasks, 16 bytes each.
+#: Labelled documents that the models are fitted on at most. Their words and repeated word pairs go to the driver and to the tasks, 16 bytes each.
 MAX_LABELLED = 20_000
+#: Occurrences of a word pair in labelled texts that keep it in the models.
+LEAST_PAIRS = 2
 #: Words of a text with the largest ratios that are features of their own, and words of a span.
 TOP, SPAN = 3, 50
 #: Words whose ratios a task holds at once, and features of a text.
@@ -52,33 +55,34 @@ def _find(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class ToxicityModel:
     """Two Kneser-Ney models, see :func:`kneser_ney`; row 0 is of ordinary, row 1 of toxic documents.
 
-    ``keys`` are the sorted hashes of words, ``START`` among them; by word, ``unigram`` has P(w),
-    ``times`` how often it was followed by another and ``share`` what is kept then for words
-    not seen after it. ``pairs`` are sorted hashes of word pairs, ``seen`` their counts. A
+    ``keys`` are the sorted hashes of words and ``unigram`` has their P(w); ``contexts`` those that
+    begin a pair (``START`` for a text), ``times`` how often, and ``share`` what is kept then for
+    words in no pair with it; ``pairs`` are sorted hashes of word pairs, ``seen`` their counts. A
     word that no labelled text holds says nothing, ratio 0: what a model keeps for it
     follows from how many texts of a class there are. ``weights`` turn features into the logit
     of a score."""
 
     keys: np.ndarray
     unigram: np.ndarray
+    contexts: np.ndarray
     times: np.ndarray
     share: np.ndarray
     pairs: np.ndarray
     seen: np.ndarray
     discounts: tuple[float, float] = (0.5, 0.5)
     weights: np.ndarray = field(default_factory=lambda: np.zeros(FEATURES + 1))
+    _sent: Broadcast | None = field(default=None, init=False, repr=False)
 
     def of_words(self, values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log-ratios log P(. | toxic) - log P(. | ordinary) of words by themselves and after the
         word before them; ``first``: where texts begin."""
         alone, chained = np.zeros(len(values)), np.zeros(len(values))
         at, known = _find(self.keys, values)
-        known &= values != START
-        u = self.unigram[:, at[known]]
+        u = self.unigram[:, at[known]].astype(np.float64)
         alone[known] = np.log(u[1]) - np.log(u[0])
         before = np.r_[START, values[:-1]]
         before[first] = START
-        v, found = _find(self.keys, before[known])
+        v, found = _find(self.contexts, before[known])
         times, share = np.where(found, self.times[:, v], 0.0), np.where(found, self.share[:, v], 1.0)
         pair, found = _find(self.pairs, pair_ids(before[known], values[known]))
         kept = np.maximum(np.where(found, self.seen[:, pair], 0.0) - np.array(self.discounts)[:, None], 0.0)
@@ -116,8 +120,11 @@ class ToxicityModel:
             out[some, 5 * k : 5 * k + 5] = np.c_[sums / length, sums / np.sqrt(length), top[:, 0], top.sum(axis=1), np.maximum.reduceat(means, spans)]
         return out
 
-    def score(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(features @ self.weights[:-1] + self.weights[-1], -35, 35)))
+    def sent(self, spark: SparkSession) -> Broadcast:
+        """This model on its way to the tasks, once for all jobs; its weights are not read there."""
+        if self._sent is None:
+            self._sent = spark.sparkContext.broadcast(replace(self))
+        return self._sent
 
 
 def discount(once: float, twice: float) -> float:
@@ -137,11 +144,17 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             lo = hi
 
 
-def _features(model: ToxicityModel, names: list[str], scored: bool):
+def score_of(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(features @ weights[:-1] + weights[-1], -35, 35)))
+
+
+def _features(sent: Broadcast, weights: np.ndarray | None, names: list[str]):
+    """Features of texts, or scores if there are ``weights``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, values, offsets in _slices(batches):
-            x = model.features(values, offsets)
-            new = [pa.array(model.score(x))] if scored else [pa.array(c) for c in np.ascontiguousarray(x.T)]
+            x = sent.value.features(values, offsets)
+            new = [pa.array(c) for c in np.ascontiguousarray(x.T)] if weights is None else [pa.array(score_of(x, weights))]
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], names)
 
     return run
@@ -154,22 +167,22 @@ def count_pairs(texts: DataFrame) -> DataFrame:
     return texts.select("__y", two).groupBy("p.v", "p.w").agg(*[F.count(F.when(F.col("__y") == y, 1)).alias(f"n{y}") for y in (0, 1)])
 
 
-def kneser_ney(pairs: DataFrame, shared: DataFrame) -> ToxicityModel:
+def kneser_ney(pairs: DataFrame, shared: DataFrame, least: int = LEAST_PAIRS) -> ToxicityModel:
     """Two interpolated Kneser-Ney models, one of each class.
 
     ``pairs`` is of :func:`count_pairs`, ``shared`` (``w``, ``n``) has the counts that both models
     back off to. For class y, with discounts D from that class's counts of counts,
 
-    * P(w | v) = max(n_y(v, w) - D, 0) / n_y(v) + D N_y(v .) / n_y(v) P(w), P(w) where v was not seen;
+    * P(w | v) = max(n_y(v, w) - D, 0) / n_y(v) + S_y(v) P(w), P(w) where v was not seen;
     * P(w) = max(N_y(. w) - D, 0) / N_y(. .) + D V_y / N_y(. .) Q(w), Q(w) without any pair;
     * Q(w) = (n(w) + 1/2) / sum of the same over all words and an unseen one,
 
-    where N_y(. w) are the distinct words before w, N_y(v .) those after v, and V_y the
-    words of the class. So an expression that a class saw rarely gets what its counts in the
+    where N_y(. w) are the distinct words before w, V_y the words of the class, and S_y(v) what
+    the first terms leave of 1. Pairs that both classes together hold fewer than ``least`` times
+    are pruned from the first term, as large models are; S_y gets their mass. So an expression that a class saw rarely gets what its counts in the
     whole corpus say, and the same in both classes if neither saw it.
     """
     y2 = [F.col(f"n{y}") > 0 for y in (0, 1)]
-    after = pairs.groupBy("v").agg(*[F.sum(f"n{y}").alias(f"c{y}") for y in (0, 1)], *[F.count(F.when(y2[y], 1)).alias(f"t{y}") for y in (0, 1)])
     before = pairs.groupBy("w").agg(*[F.count(F.when(y2[y], 1)).alias(f"k{y}") for y in (0, 1)])
     times = lambda c, n: F.count(F.when(F.col(c) == n, 1))
     p = pairs.agg(*[times(f"n{y}", n).alias(f"{y}{n}") for y in (0, 1) for n in (1, 2)]).first()
@@ -177,18 +190,19 @@ def kneser_ney(pairs: DataFrame, shared: DataFrame) -> ToxicityModel:
     total, size = shared.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     d2, d1 = [discount(p[f"{y}1"], p[f"{y}2"]) for y in (0, 1)], [discount(b[f"{y}1"], b[f"{y}2"]) for y in (0, 1)]
     left = [d1[y] * b[f"types{y}"] / b[f"all{y}"] if b[f"all{y}"] else 1.0 for y in (0, 1)]
-    share = [F.when(F.col(f"c{y}") > 0, F.lit(d2[y]) * F.col(f"t{y}") / F.col(f"c{y}")).otherwise(F.lit(1.0)).alias(f"s{y}") for y in (0, 1)]
-    after = after.select(F.col("v").alias("w"), "c0", "c1", *share)
+    kept = F.col("n0") + F.col("n1") >= least
+    own = [F.sum(F.when(kept, F.greatest(F.col(f"n{y}") - F.lit(d2[y]), F.lit(0.0))).otherwise(F.lit(0.0))).alias(f"h{y}") for y in (0, 1)]
+    after = pairs.groupBy("v").agg(*[F.sum(f"n{y}").alias(f"c{y}") for y in (0, 1)], *own, F.max(kept).alias("kept")).filter("kept")
+    after = after.select("v", *[F.col(f"c{y}").cast("float") for y in (0, 1)], *[(F.lit(1.0) - F.col(f"h{y}") / F.greatest(f"c{y}", F.lit(1))).cast("float").alias(f"s{y}") for y in (0, 1)])
     q = (F.col("n") + 0.5) / F.lit(total + 0.5 * size + 0.5)
-    kept = [F.greatest(F.col(f"k{y}") - F.lit(d1[y]), F.lit(0.0)) / F.lit(float(b[f"all{y}"] or 1)) for y in (0, 1)]
-    words = before.join(shared, "w").select("w", *[(kept[y] + F.lit(left[y]) * q).alias(f"u{y}") for y in (0, 1)])
-    words = words.join(after, "w", "full").select("w", *[F.coalesce(f"{c}{y}", F.lit(d)).cast("double").alias(f"{c}{y}") for c, d in (("u", 1.0), ("c", 0.0), ("s", 1.0)) for y in (0, 1)])
+    seen = [F.greatest(F.col(f"k{y}") - F.lit(d1[y]), F.lit(0.0)) / F.lit(float(b[f"all{y}"] or 1)) for y in (0, 1)]
+    words = before.join(shared, "w").select("w", *[(seen[y] + F.lit(left[y]) * q).cast("float").alias(f"u{y}") for y in (0, 1)])
+    two = pairs.filter(kept).select(_pair_id(F.col("v"), F.col("w")).alias("k"), *[F.col(f"n{y}").cast("float") for y in (0, 1)])
     # Words and pairs of at most so many labelled documents as the caller has sampled.
-    one = words.toArrow().sort_by("w")
-    two = pairs.select(_pair_id(F.col("v"), F.col("w")).alias("k"), *[F.col(f"n{y}").cast("float") for y in (0, 1)]).toArrow().sort_by("k")
+    one, after, two = words.toArrow().sort_by("w"), after.toArrow().sort_by("v"), two.toArrow().sort_by("k")
     column = lambda t, c, none: t[c].to_numpy() if len(t) else np.array([none])
     both = lambda t, c, none: np.stack([column(t, f"{c}{y}", none) for y in (0, 1)])
-    return ToxicityModel(column(one, "w", START), both(one, "u", 1.0), both(one, "c", 0.0), both(one, "s", 1.0), column(two, "k", 0), both(two, "n", 0.0), tuple(d2))
+    return ToxicityModel(column(one, "w", START), both(one, "u", 1.0), column(after, "v", START), both(after, "c", 0.0), both(after, "s", 1.0), column(two, "k", 0), both(two, "n", 0.0), tuple(d2))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> ToxicityModel:
@@ -213,7 +227,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     own = words.join(sample, "__id").select("__y", "__fold", word_ids(F.col("__t")).alias("__w"))
     model = kneser_ney(materialise(count_pairs(own.filter("__fold < 4"))), every)
     names = [f"f{i}" for i in range(FEATURES)]
-    held = own.filter("__fold = 4").select("__y", "__w").mapInArrow(_features(model, ["y", *names], False), f"y int, {', '.join(f'{n} double' for n in names)}")
+    held = own.filter("__fold = 4").select("__y", "__w").mapInArrow(_features(model.sent(docs.sparkSession), None, ["y", *names]), f"y int, {', '.join(f'{n} double' for n in names)}")
     table = np.array(sorted(held.collect())).reshape(-1, FEATURES + 1)  # part of the sample
     model.weights = logistic(table[:, 1:], table[:, 0])
     return model
@@ -232,5 +246,5 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     held_out = (crc_fold(F.col(id_col)) == 0) & F.col(id_col).isNotNull()
     rows = docs.select(F.col(id_col), held_out.alias("held_out"), word_ids(F.col(text_col)).alias("__w"))
     schema = docs.select(F.col(id_col), held_out.alias("held_out"), F.lit(0.0).alias("score")).schema
-    scored = rows.mapInArrow(_features(model, [id_col, "held_out", "score"], True), schema)
+    scored = rows.mapInArrow(_features(model.sent(docs.sparkSession), model.weights, [id_col, "held_out", "score"]), schema)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

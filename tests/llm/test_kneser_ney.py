@@ -28,15 +28,15 @@ def discount(counts):
 class Plain:
     """An interpolated Kneser-Ney bigram model of texts, with unigram counts shared by both classes below."""
 
-    def __init__(self, texts, shared):
+    def __init__(self, texts, shared, kept):
         self.two = Counter(p for t in texts for p in zip(["^", *words(t)], words(t)))
-        self.after, self.types = Counter(), Counter()
+        self.after, self.held, self.kept = Counter(), Counter(), kept
         self.before = Counter(w for _, w in self.two)
-        for (v, _), n in self.two.items():
-            self.after[v] += n
-            self.types[v] += 1
         self.shared, self.all = shared, sum(shared.values())
         self.d2, self.d1 = discount(self.two.values()), discount(self.before.values())
+        for (v, w), n in self.two.items():
+            self.after[v] += n
+            self.held[v] += max(n - self.d2, 0) * ((v, w) in kept)
 
     def q(self, w):
         return (self.shared.get(w, 0) + 0.5) / (self.all + 0.5 * len(self.shared) + 0.5)
@@ -48,7 +48,8 @@ class Plain:
     def p(self, v, w):
         if not self.after[v]:
             return self.one(w)
-        return max(self.two[v, w] - self.d2, 0) / self.after[v] + self.d2 * self.types[v] / self.after[v] * self.one(w)
+        own = max(self.two[v, w] - self.d2, 0) if (v, w) in self.kept else 0
+        return own / self.after[v] + (1 - self.held[v] / self.after[v]) * self.one(w)
 
 
 @pytest.fixture(scope="module")
@@ -57,7 +58,10 @@ def models(spark):
     shared = docs.select(F.explode(F.array_distinct("__w")).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     model = toxicity.kneser_ney(toxicity.count_pairs(docs), shared)
     counts = Counter(w for _, _, t in TEXTS for w in set(words(t)))
-    return model, [Plain([t for _, y, t in TEXTS if y == c], counts) for c in (0, 1)]
+    pairs = Counter(p for _, _, t in TEXTS for p in zip(["^", *words(t)], words(t)))
+    kept = {p for p, n in pairs.items() if n >= toxicity.LEAST_PAIRS}
+    assert 0 < len(kept) < len(pairs)
+    return model, [Plain([t for _, y, t in TEXTS if y == c], counts, kept) for c in (0, 1)]
 
 
 def ids(spark, text):
