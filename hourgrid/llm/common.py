@@ -6,6 +6,10 @@ own use; every other name may occur in the input.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +27,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def byte_slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of about ``size`` bytes of a text or binary column; a longer value
+    is a slice of its own."""
+    lo, held = 0, 0
+    for i, n in enumerate(pc.binary_length(batch.column(column)).to_pylist()):
+        if i > lo and held + (n or 0) > size:
+            yield batch.slice(lo, i - lo)
+            lo, held = i, 0
+        held += (n or 0) + 64
+    if lo < batch.num_rows:
+        yield batch.slice(lo)
+
+
 def _plain(col: Column) -> Column:
     return F.octet_length(col) == F.char_length(col)
 

@@ -247,35 +247,72 @@ def test_words_in_attributes():
 
 @pytest.fixture(scope="module")
 def coder():
-    return tokens._counts(open(tokens.RANKS, "rb").read(), tokens.PATTERN)
+    return tokens._counts(open(tokens.RANKS, "rb").read(), tokens.PATTERN, tokens.SAFE)
+
+
+#: Characters that meet in every order: letters, digits, signs, contractions, white space of many kinds.
+MEETING = "abst'1\u0662.!\u2014 \n\t\u3000\u00a0\x1c\u00e9\u4e2d\u0301\U0001f600"
+
+
+def mixed(rng, n):
+    return "".join(rng.choice(MEETING) for _ in range(n))
+
+
+def check_tree(root):
+    """Sums of every node, one height of all leaves, and what is stored comes back."""
+    def height(node):
+        if not node.kids:
+            return 0
+        assert node.chars == sum(k.chars for k in node.kids) and node.tokens == sum(k.tokens for k in node.kids) and len(node.kids) <= 2 * tokens.FAN_OUT
+        heights = {height(k) for k in node.kids}
+        assert len(heights) == 1
+        return heights.pop() + 1
+
+    height(root)
+    text, stored = "".join(tokens.pieces(root, 0, root.chars)), tokens.store(root)
+    assert tokens.store(tokens.restore(text, *stored)) == stored
+    return text
 
 
 def test_leaves_add_up(coder):
     rng = random.Random(6)
-    for text in ["", " ", "a", "  two  spaces\n\n x", "it's we'll 12345 abc… 　ÀÉ", prose(rng, 900), "x" * 3000, "\x1c a b" * 200]:
-        lens, sums = tokens.leaves(text, coder)
-        assert sum(lens) == len(text) and sum(sums) == len(coder.coder.encode_ordinary(text))
+    for text in ["", " ", "a", "  two  spaces\n\n x", "it's we'll 12345 abc… 　ÀÉ", prose(rng, 900), "x" * 3000, "\x1c a b" * 200, "line\n" * 900, "漢字、かな。" * 400, *[mixed(rng, 400) for _ in range(100)]]:
+        for size in (1, tokens.LEAF_CHARS):
+            made = tokens.leaves(text, coder, size)
+            assert "".join(x.text for x in made) == text and sum(x.tokens for x in made) == coder.of(text) == len(coder.coder.encode_ordinary(text))
+    assert len(tokens.leaves("line\n" * 900, coder)) > 15 and len(tokens.leaves("漢字、かな。" * 400, coder)) > 8
 
 
 def test_edits_equal_a_new_count(coder):
     rng = random.Random(7)
-    for _ in range(150):
-        text = prose(rng, rng.choice([0, 3, 60, 600, 4000]))
-        lens, sums = tokens.leaves(text, coder)
-        edits, at = [], 0
-        while at <= len(text) and rng.random() < 0.8:
-            s = rng.randint(at, len(text) + 2)
-            n = rng.choice([0, 0, 1, 5, 300, 5000])
-            edits.append((s, n, rng.choice(["", " ", "x", " new words", "\n\n", "  ", "word " * 300])))
-            at = s + n
-        new, lens, tree, again = tokens.edit(text, lens, tokens.grow(sums), edits, coder)
-        want = text
-        for s, n, x in reversed(edits):
-            s = min(s, len(text))
-            want = want[:s] + x + want[min(s + n, len(text)) :]
-        assert new == want and tree[-1][0] == len(coder.coder.encode_ordinary(want)) and tree == tokens.grow(list(tree[0]) if lens else [])
-        if len(text) > 20_000 and edits and all(n < 10 and len(x) < 20 for _, n, x in edits):
-            assert again < len(text) / 2
+    for turn in range(300):
+        own = mixed if turn % 2 else prose
+        size = rng.choice([1, 4, tokens.LEAF_CHARS])
+        text = own(rng, rng.choice([0, 3, 60, 600, 4000 if size > 4 else 60]))
+        root = tokens.grow(tokens.leaves(text, coder, size))
+        for _ in range(3):  # edits of edited trees
+            edits, at = [], 0
+            while at <= len(text) and rng.random() < 0.8:
+                s = rng.randint(at, len(text) + 2)
+                n = rng.choice([0, 0, 1, 5, 300, 5000])
+                edits.append((s, n, rng.choice(["", " ", "x", "'", "s", "1", " new words", "\n\n", "  ", "word " * 300, mixed(rng, 5)])))
+                at = s + n
+            root, again = tokens.edit(root, edits, coder, size)
+            want = text
+            for s, n, x in reversed(edits):
+                s = min(s, len(text))
+                want = want[:s] + x + want[min(s + n, len(text)) :]
+            assert check_tree(root) == want and root.tokens == len(coder.coder.encode_ordinary(want))
+            if len(text) > 20_000 and edits and all(n < 10 and len(x) < 20 for _, n, x in edits):
+                assert again < len(text) / 2
+            text = want
+
+
+def test_an_edit_renews_one_path(coder):
+    root = tokens.grow(tokens.leaves("one line\n" * 40_000, coder))
+    before = {id(x) for x in root.kids}
+    new, again = tokens.edit(root, [(180_000, 3, "another\nnew line")], coder)
+    assert again < 2000 and sum(id(x) not in before for x in new.kids) <= 2
 
 
 def test_token_columns(spark, coder):
