@@ -137,15 +137,15 @@ def swap(node: Node, a: int, b: int, fresh: list[Node], at: int = 0) -> list[Nod
 def edit(root: Node, edits: list[tuple[int, int, str]], counts: _Counts, size: int = LEAF_CHARS) -> tuple[Node, int]:
     """The tree after (start, length, new text) edits, given for the old text and not
     overlapping (at one place: in the order given), and how many characters were encoded
-    again: those of leaves that an edit touches, or whose boundary it touches. A boundary holds as long as the characters on
-    either side of it stay where they meet."""
+    again: those of leaves that an edit touches, or whose boundary it touches. A boundary
+    holds as long as the characters on either side of it stay where they meet."""
     groups: list[list] = []  # start of the first leaf, end of the last, edits
     for s, n, new in sorted(edits, key=lambda x: x[0]):
         s = min(max(s, 0), root.chars)
         e = min(s + max(n, 0), root.chars)
         a = leaf_at(root, s - 1)[0] if s else 0
         b = leaf_at(root, e)[1] if e < root.chars else root.chars
-        if groups and a < groups[-1][1]:
+        if groups and a <= groups[-1][1]:
             groups[-1][1] = max(groups[-1][1], b)
             groups[-1][2].append((s, e, new))
         else:
