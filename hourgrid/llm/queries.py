@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourgrid.llm.audio import decode_media, encode_texts
+from hourgrid.llm.audio import CODECS, decode_media, encode_texts
 from hourgrid.llm.decontam import find_overlaps
 from hourgrid.llm.html_main import extract_main_text
 from hourgrid.llm.line_dedup import dedup_lines
@@ -40,8 +40,10 @@ def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    media = encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return decode_media(media).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    """Every text in one of the three codecs, by its CRC, so that equal texts get equal files."""
+    codec = F.element_at(F.array(*[F.lit(c) for c in CODECS]), (F.crc32(F.coalesce("text", F.lit(""))) % len(CODECS) + 1).cast("int"))
+    media = encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), codec=codec)
+    return decode_media(media).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "pcm_bytes", "pcm_sha256")
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,8 +153,13 @@ def test_codecs():
     assert len(set(a.tolist())) == 256 and a[0xD5] == 8 and a[0x55] == -8 and a[0xAA] == 32256 and a[0x2A] == -32256
     raw = random.Random(4).randbytes(36 * 7 + 20)
     want = [s for i in range(0, len(raw), 36) for s in slow_ima(raw[i : i + 36])]
-    assert audio.decode_ima(raw, 36).tolist() == want
-    assert audio.decode_ima(b"", 36).tolist() == []
+    got = audio.decode_ima([raw, b"", raw[:36], raw[:3], raw[36:41]], 36)
+    assert [x.tolist() for x in got] == [want, [], want[:65], [], want[65:68]]
+    # Two channels: headers, then four bytes of each in turn.
+    left, right = raw[:36], raw[36:72]
+    both = left[:4] + right[:4] + b"".join(left[i : i + 4] + right[i : i + 4] for i in range(4, 36, 4))
+    mean = [int((a + b) / 2) for a, b in zip(slow_ima(left), slow_ima(right), strict=True)]
+    assert [x.tolist() for x in audio.decode_ima([both * 2, both[:16]], 72, 2)] == [mean * 2, mean[:9]]
     pcm = (8000 * np.sin(np.arange(800) / 20)).astype(np.int16)
     up = audio.resample(pcm, 8000, 16000)
     assert len(up) == 1600 and np.abs(up[40:-40:2].astype(int) - pcm[20:-20].astype(int)).max() < 200
@@ -162,25 +167,57 @@ def test_codecs():
 
 def test_texts_survive_as_audio(spark):
     rows = EDGE + [(9, "é\U0001f600" * 500, "x", "y", 1), (10, "a" * 192, None, None, 0)]
-    got = audio.decode_media(audio.encode_texts(frame(spark, rows).withColumns({"media": F.lit(1), "pcm": F.lit(2), "feature": F.lit(3)})))
+    clash = frame(spark, rows).withColumns({"media": F.lit(1), "pcm": F.lit(2), "feature": F.lit(3), "codec": F.lit(4)})
+    codecs = [None, *audio.CODECS]
+    got = None
+    for c in codecs:
+        part = audio.decode_media(audio.encode_texts(clash, codec=F.lit(c)))
+        got = part if got is None else got.unionByName(part)
+    assert "pcm" not in got.columns and {r.codec for r in got.collect()} == set(audio.CODECS)
     found = sorted(((r.doc_id or 0), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got.collect())
     want = []
     for i, t, *_ in rows:
         raw = (t or "").encode()
         full = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
         want.append((i or 0, len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-16:])))
-    assert found == sorted(want)
+    assert found == sorted(want * len(codecs))
     assert audio.decode_media(audio.encode_texts(frame(spark, []))).count() == 0
 
 
 def test_broken_and_other_files(spark):
     wav = [audio.wav_bytes(b"\x00\x7f\xff\x80", audio.A_LAW, 8000), audio.wav_bytes(struct.pack("<4h", 1, -2, 3, -4), audio.PCM, 16000, 16, 2), audio.wav_bytes(b"", audio.MU_LAW, 8000), b"RIFFxxxxWAVEfmt ", b"", None, audio.wav_bytes(b"\0\0\0\0" + b"\x11" * 32, audio.IMA_ADPCM, 8000, 4, 36)]
     df = spark.createDataFrame([(i, bytearray(w) if w is not None else None) for i, w in enumerate(wav)], "i int, media binary")
-    got = {r.i: r for r in audio.decode_media(df).collect()}
+    got = {r.i: r for r in audio.decode_media(df, pcm=True).collect()}
+    assert all(r.pcm is None or r.pcm_sha256 == hashlib.sha256(r.pcm).hexdigest() for r in got.values())
     assert [got[i].error is None for i in range(7)] == [True, True, True, False, False, False, True]
     assert np.frombuffer(got[1].pcm, "<i2").tolist() == [1, -2, 3, -4] and got[2].pcm == b"" and len(got[6].pcm) == 65 * 2 * 2
 
 
+def test_audio_query_against_brute_force(spark, tmp_path):
+    from hourgrid.llm.queries import op4_telephony_audio
+
+    rng = random.Random(9)
+    rows = EDGE + [(i, "é" * 3000 + prose(rng, rng.choice([1, 30, 400])), "x", "y", 1) for i in range(20, 60)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    tables = {"mu_law": audio.mu_law_table(), "a_law": audio.a_law_table()}
+    got = op4_telephony_audio(spark, str(tmp_path)).collect()
+    seen = {}
+    for r in got:
+        seen.setdefault(r.doc_id or 0, []).append((r.codec, r.payload_sha256, r.feature, r.pcm_bytes, r.pcm_sha256))
+    want = {}
+    for i, t, *_ in rows:
+        raw = (t or "").encode()
+        full = raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))
+        codec = list(audio.CODECS)[zlib.crc32(raw) % 3]
+        pcm = [int(tables[codec][b]) for b in full] if codec in tables else [s for k in range(0, len(full), 192) for s in slow_ima(full[k : k + 192])]
+        wide = audio.resample(np.array(pcm, np.int16), 8000, 16000).astype("<i2").tobytes()
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(pcm, pcm[1:]))
+        feature = f"samples={len(pcm)};mean={np.mean(pcm):.3f};rms={np.sqrt(np.mean(np.square(np.array(pcm, float)))):.3f};peak={np.abs(pcm).max():.0f};crossings={crossings};pcm={zlib.crc32(wide):08x}"
+        want.setdefault(i or 0, []).append((codec, hashlib.sha256(full).hexdigest(), feature, len(wide), hashlib.sha256(wide).hexdigest()))
+    assert {k: sorted(v) for k, v in seen.items()} == {k: sorted(v) for k, v in want.items()}
+    assert {r.codec for r in got} == set(audio.CODECS)
+
+
 # -- secrets
 
 
