@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import wraps
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourgrid.functions import columns as col
-from hourgrid.functions.storage import materialise
+from hourgrid.functions.storage import materialise, shared_folder
 from hourgrid.jobs import workloads as work
 from hourgrid.operators import delays as de
 from hourgrid.operators import features as fe
@@ -150,7 +151,9 @@ def s11_review_sheet(s, d):
 
 @query
 def s13_running_times(s, d):
-    return tables.running_times(s, d).filter("avg_scheduled_runtime is not null and avg_actual_runtime is not null and line <> ''").groupBy("line").agg(F.count(F.lit(1)).alias("n_rows"))
+    source = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    tables.running_times(s, d).write.parquet(source)
+    return up.read_running_times(s, source).groupBy("line").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query
@@ -556,7 +559,7 @@ def m16_permutation_importance(s, d):
 
 
 def _fitted(s, d, fit):
-    df = work.score_job(_features(s, d)).drop("score").cache()  # every pass of a fit reads it
+    df = work.score_job(_features(s, d)).drop("score")
     model = fit(df.filter("split = 'train'"), ["entity"], list(fe.NUMERIC))
     return me.ranking_metrics(mo.classify(model, df.filter("split = 'test'")))
 
@@ -599,8 +602,8 @@ def m2_nearest_split(s, d):
 
 
 def _regressions(s, d):
-    df = me.nearest_split(_delays(s, d), "month_date").select(*CATEGORIES, *NUMBERS, "delay_min", "month_date", "l_orderkey", "l_linenumber", "split").dropna()
-    return df.filter("split = 'train'").cache(), df.filter("split = 'test'")
+    df = materialise(me.nearest_split(_delays(s, d), "month_date").select(*CATEGORIES, *NUMBERS, "delay_min", "month_date", "l_orderkey", "l_linenumber", "split").dropna())
+    return df.filter("split = 'train'"), df.filter("split = 'test'")
 
 
 @query

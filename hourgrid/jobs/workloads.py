@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hourgrid.functions.storage import materialise
 from hourgrid.operators import features as fe
 from hourgrid.operators import incidents as inc
 from hourgrid.operators import labels as lab
@@ -29,13 +30,15 @@ def label_job(updates: DataFrame, policy: Policy) -> DataFrame:
 
 def feature_job(updates: DataFrame, schedule: DataFrame, policy: Policy, targets: DataFrame | None = None) -> DataFrame:
     """Updates and a schedule to features of every entity and hour; ``targets`` are the labels
-    if they have been written before."""
-    return fe.build_features(label_job(updates, policy) if targets is None else targets, sch.schedule_fact(schedule, policy), sch.schedule_coverage(schedule))
+    if they have been written before; features read them twice, so they are written once."""
+    targets = materialise(label_job(updates, policy)) if targets is None else targets
+    return fe.build_features(targets, sch.schedule_fact(schedule, policy), sch.schedule_coverage(schedule))
 
 
 def score_job(features: DataFrame) -> DataFrame:
-    """Eligible rows in a chronological split, scored by the trailing rate."""
-    return me.chronological_split(me.baseline_scores(fe.model_rows(features)))
+    """Eligible rows in a chronological split, scored by the trailing rate. They are
+    written once; the split's bounds and what follows read the columns they need."""
+    return me.chronological_split(materialise(me.baseline_scores(fe.model_rows(features))))
 
 
 def build(spark: SparkSession, folder: str, out: str, replace: bool = False) -> None:

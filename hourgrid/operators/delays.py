@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hourgrid.functions.quantiles import exact_quantiles
+
 
 def delay_rows(running: DataFrame) -> DataFrame:
     """Adds ``delay_min`` (actual less scheduled), month and year; rows without positive
@@ -16,9 +18,8 @@ def delay_rows(running: DataFrame) -> DataFrame:
 
 
 def clip_quantile(df: DataFrame, col: str, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """Rows within two quantiles (linear, inclusive) of ``col``. Values are counted first."""
-    counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    cuts = counts.agg(F.expr(f"percentile(v, array({low}D, {high}D), n)").alias("c")).first()["c"]  # two numbers
+    """Rows within two quantiles (linear, inclusive) of ``col``."""
+    cuts = exact_quantiles(df, F.col(col), [low, high])
     return df.filter(F.col(col).between(*cuts)) if cuts else df.filter(F.lit(False))
 
 
@@ -32,11 +33,9 @@ def mean_delay(df: DataFrame, by: str = "line", col: str = "delay_min") -> DataF
 
 def describe_target(df: DataFrame, col: str = "delay_min") -> DataFrame:
     """One row: count, mean, standard deviation, least, quartiles and largest."""
-    counts = df.groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    quartiles = counts.agg(F.expr("percentile(v, array(0.25D, 0.5D, 0.75D), n)").alias("q")).withColumn("__k", F.lit(1))
-    stats = df.agg(F.count(col).alias("n_rows"), F.avg(col).alias("mean"), F.stddev(col).alias("std"), F.min(col).alias("min"), F.max(col).alias("max")).withColumn("__k", F.lit(1))
-    df = stats.join(F.broadcast(quartiles), "__k")  # one row each
-    return df.select("n_rows", "mean", "std", "min", *[F.col("q")[i].alias(n) for i, n in enumerate(("q25", "median", "q75"))], "max")
+    quartiles = exact_quantiles(df, F.col(col), [0.25, 0.5, 0.75]) or [None] * 3
+    between = [F.lit(q).cast("double").alias(n) for q, n in zip(quartiles, ("q25", "median", "q75"), strict=True)]
+    return df.agg(F.count(col).alias("n_rows"), F.avg(col).alias("mean"), F.stddev(col).alias("std"), F.min(col).alias("min"), *between, F.max(col).alias("max"))
 
 
 def histogram(df: DataFrame, col: str, bins: int = 60) -> DataFrame:
@@ -68,6 +67,7 @@ def reference_profile(train: DataFrame, cols: list[str], pinned: dict[str, float
 
 
 def entity_profiles(train: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
-    """Medians of ``cols`` per entity."""
+    """Medians of ``cols`` per entity. A task keeps the distinct values of each column of an
+    entity: for trailing sums and rates their frames bound these, for others use ``approx``."""
     median = (lambda c: F.percentile_approx(c, 0.5)) if approx else F.median
     return train.groupBy("entity").agg(*[median(F.col(c)).cast("double").alias(c) for c in cols])

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourgrid.functions.frames import running_totals
+from hourgrid.functions.quantiles import exact_quantiles
 
 
 def chronological_split(df: DataFrame, col: str = "hour", low: float = 0.70, high: float = 0.85) -> DataFrame:
@@ -114,8 +115,7 @@ def calibration(scores: DataFrame, bins: int = 12) -> DataFrame:
     """Mean score and observed rate in quantile bins; a score at an edge is in the lower bin,
     empty bins drop out."""
     groups = score_groups(scores).withColumn("n", F.col("pos") + F.col("neg"))
-    qs = ", ".join(f"{i}/{bins}D" for i in range(1, bins))
-    edges = groups.agg(F.expr(f"percentile(p, array({qs}), n)").alias("e")).first()["e"] or []  # bins - 1 numbers
+    edges = exact_quantiles(groups, F.col("p"), [i / bins for i in range(1, bins)], F.col("n"))
     at = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]).cast("array<double>"), lambda e: e < F.col("p")))
     n = F.sum("n")
     return groups.groupBy(at.alias("bin")).agg(n.alias("n_rows"), (F.sum(F.col("p") * F.col("n")) / n).alias("mean_score"), (F.sum("pos") / n).alias("observed_rate"))

@@ -107,5 +107,5 @@ def eligible_entities(features: DataFrame) -> DataFrame:
 def check_policy(policy_tokens: DataFrame, aliases: DataFrame, entities: DataFrame) -> DataFrame:
     """(problem, value): tokens that are significant and planned, aliases to no entity."""
     both = policy_tokens.filter("is_significant = 1").select("token").intersect(policy_tokens.filter("is_planned = 1").select("token"))
-    lost = aliases.join(F.broadcast(entities), aliases["target"] == entities["entity"], "left_anti")
+    lost = aliases.join(entities, aliases["target"] == entities["entity"], "left_anti")
     return both.select(F.lit("token in both sets").alias("problem"), F.col("token").alias("value")).union(lost.select(F.lit("alias of no entity"), F.col("alias")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourgrid.functions.columns import entities_of, has_any, hour_floor, pipe_tokens, stable_rank
@@ -22,8 +22,8 @@ def event_flags(timeline: DataFrame, policy: Policy) -> DataFrame:
 def exclusions(timeline: DataFrame, policy: Policy) -> DataFrame:
     """The first update per instance and entity, by time and id, of instances that are planned
     and significant, or neither."""
-    flags = event_flags(timeline, policy).filter("any_planned = any_significant").select("instance_id", "any_planned")
-    rows = timeline.join(flags, "instance_id").withColumn("entity", F.explode(entities_of(F.col("affected"), policy)))
+    flags = event_flags(timeline, policy).filter("any_planned = any_significant").select("event_id", "instance_seq", "any_planned")
+    rows = timeline.join(flags, ["event_id", "instance_seq"]).withColumn("entity", F.explode(entities_of(F.col("affected"), policy)))
     row = F.struct("published_at", "status_label", F.coalesce("header", F.lit("")).alias("header"), "any_planned")
     firsts = rows.groupBy("event_id", "instance_id", "entity").agg(F.min_by(row, F.struct("published_at", "update_id")).alias("r"))
     stratum = F.when(F.col("r.any_planned") == 1, PLANNED).otherwise(OTHER)
@@ -57,9 +57,3 @@ def review_sample(candidates: DataFrame, n: int, strict: bool = True) -> DataFra
 
 def strata_counts(sample: DataFrame) -> DataFrame:
     return sample.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_rows"))
-
-
-def rank_in_stratum(candidates: DataFrame) -> DataFrame:
-    """Candidates with their place in their stratum's hash order."""
-    key = stable_rank(F.col("stratum"), F.col("instance_id"), F.col("entity"))
-    return candidates.withColumn("place", F.row_number().over(Window.partitionBy("stratum").orderBy(key)))

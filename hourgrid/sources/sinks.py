@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Columns that a reviewer fills in.
+#: Columns that a reviewer fills in.
 REVIEWER_COLUMNS = ("reviewer", "is_significant_yes_no_uncertain", "is_unplanned_yes_no_uncertain", "policy_label_correct_yes_no_uncertain", "review_notes")
 
 

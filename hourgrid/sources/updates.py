@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hourgrid.functions.columns import blank_to_null, naive_timestamp, strip, whole_number
 
-#: Columns of a raw update file.
+#: Columns of a raw update file.
 RAW = ("alert_id", "event_id", "update_number", "date", "agency", "status_label", "affected", "header", "description")
 
 
