@@ -27,6 +27,12 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def only(df: DataFrame, keys: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of ``df`` that join the one column of ``keys``, before they are shuffled, if
+    ``keys`` has been counted to have at most ``rows`` rows; else ``df`` as it is."""
+    return df.join(F.broadcast(keys), keys.columns[0], "left_semi") if keys.limit(rows + 1).count() <= rows else df
+
+
 def byte_slices(batch: pa.RecordBatch, column: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """``batch`` in slices of about ``size`` bytes of a text or binary column; a longer value
     is a slice of its own."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourgrid.functions.storage import materialise
-from hourgrid.llm.common import lower_word, row_key, small
+from hourgrid.llm.common import lower_word, only, row_key, small
 
 #: Characters between words: all of ASCII but digits and letters.
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -56,10 +56,12 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
 
     Hashes and positions are shuffled, not pairs of texts: hits are folded per document,
     so a passage in many documents costs each of them one row. The benchmark's side is
-    broadcast if it is counted to be small, else joined by a shuffle.
+    broadcast if it is counted to be small, else joined by a shuffle; so are the keys of the
+    documents with hits, and then only the texts of these are shuffled.
 
     Defined cases: null and empty texts have no words and no hits; repeated rows each get
-    the result; an empty benchmark hits nothing; a null item id reads ''.
+    the result; an empty benchmark hits nothing; an empty table of documents gives an empty
+    table; very long texts are taken whole; a null item id reads ''.
     """
     rows = docs.withColumn("__rk", row_key(F.col(id_col), F.col(text_col))).withColumn("__words", words_of(F.col(text_col)))
     words = rows.select("__rk", "__words")
@@ -79,10 +81,10 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     found = starts[0]
     for more in starts[1:]:
         found = found.unionByName(more)
-    found = found.groupBy("__rk").agg(F.collect_set(F.struct("__len", "__at", "__more")).alias("__found"))
+    found = materialise(found.groupBy("__rk").agg(F.collect_set(F.struct("__len", "__at", "__more")).alias("__found")))
 
     # Extend: the words around the hits are looked up again, in documents that have any.
-    near = rows.select("__rk", F.col(text_col).alias("__t")).join(found, "__rk").select("__rk", "__found", words_of(F.col("__t")).alias("__words"))
+    near = only(rows.select("__rk", F.col(text_col).alias("__t")), found.select("__rk")).join(found, "__rk").select("__rk", "__found", words_of(F.col("__t")).alias("__words"))
     # A window as one number, start x 2^16 + length: distinct numbers are found by hashing.
     reach = F.flatten(F.transform("__found", lambda f: F.transform(F.sequence(f["__at"], f["__at"] + f["__more"]), lambda s: s.cast("long") * (1 << 16) + f["__len"])))
     near = near.select("__rk", "__words", F.transform(F.array_distinct(reach), lambda r: F.struct((r % (1 << 16)).cast("int").alias("len"), F.floor(r / (1 << 16)).cast("int").alias("start"))).alias("__reach"))
