@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from hourgrid.llm.audio import CODECS, decode_media, encode_texts
 from hourgrid.llm.decontam import find_overlaps
+from hourgrid.llm.filter_audit import audit_filters
+from hourgrid.llm.fim import fill_in_middle, restored_text
 from hourgrid.llm.html_main import extract_main_text
 from hourgrid.llm.line_dedup import dedup_lines
 from hourgrid.llm.mixing import mix_sources
@@ -17,6 +19,7 @@ from hourgrid.llm.secrets import NAMES, scan_secrets
 from hourgrid.llm.simhash import near_duplicates
 from hourgrid.llm.tokens import apply_edits, build_trees
 from hourgrid.llm.toxicity import fit_toxicity, score_toxicity
+from hourgrid.llm.url_filter import filter_urls, fit_urls, labelled_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,8 +91,22 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    restored = F.sha2(restored_text(F.col("output"), F.col("form")), 256)
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), restored.alias("restored_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"), _table(spark, sf_dir, "labels"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), fit_urls(labelled_urls(spark))).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_quality_resampling, op4_telephony_audio, op5_secret_scan, op6_main_text, op7_line_dedup, op8_simhash_near_dedup, op9_edit_aware_token_counts, op10_source_mixing)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_quality_resampling, op4_telephony_audio, op5_secret_scan, op6_main_text, op7_line_dedup, op8_simhash_near_dedup, op9_edit_aware_token_counts, op10_source_mixing, op11_fill_in_middle, op12_filter_audit, op13_url_filter)}
 
 
 OP7_SQL = r"""
@@ -151,5 +168,44 @@ WINDOW p AS (PARTITION BY k.source ORDER BY key, doc_id::VARCHAR, m ROWS BETWEEN
 """
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), e AS (
+  SELECT *, len(u)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT % (len(u) + 1) AS a, ('0x' || substr(h, 9, 8))::BIGINT % (len(u) + 1) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || substr(h, 17, 8))::BIGINT % 100 >= 50 THEN 'plain'
+      WHEN ('0x' || substr(h, 25, 8))::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d
+), f AS (
+  SELECT *, array_to_string(u[1 : least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1 : greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1 :], '') AS s FROM e
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256
+FROM f
+"""
+
+OP12_SQL = r"""
+WITH w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), d AS (
+  SELECT w.doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(t),
+      regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false)] AS bad, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM w LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) l ON w.doc_id = l.doc_id
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), masks AS (
+  SELECT part, bad, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM d GROUP BY part, bad
+), steps AS (
+  SELECT filter_order, i::INT AS step, ascii(substr(filter_order, i, 1)) - 64 AS f, list_transform(range(1, i), lambda j: ascii(substr(filter_order, j, 1)) - 64) AS earlier FROM orders, range(1, 6) t(i)
+), r AS (
+  SELECT part, filter_order, step, f, sum(n) FILTER (NOT gone AND NOT bad[f]) AS kept, sum(n) FILTER (NOT gone AND bad[f]) AS removed, sum(n) FILTER (gone AND bad[f]) AS redundant,
+    sum(n) FILTER (bad[f] AND len(list_filter(bad, lambda x: x)) = 1) AS unique_fails, sum(good) FILTER (NOT gone AND bad[f]) AS good_lost, sum(toxic) FILTER (NOT gone AND bad[f]) AS toxic_lost
+  FROM (SELECT masks.*, steps.*, len(list_filter(earlier, lambda j: bad[j])) > 0 AS gone FROM masks, steps) GROUP BY ALL
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley
+FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op7_line_dedup": OP7_SQL, "op10_source_mixing": OP10_SQL}
+    return {"op11_fill_in_middle": OP11_SQL, "op12_filter_audit": OP12_SQL, "op2_decontamination": OP2_SQL, "op7_line_dedup": OP7_SQL, "op10_source_mixing": OP10_SQL}
