@@ -82,6 +82,17 @@ def assert_quality(checks: DataFrame) -> None:
         raise QualityError(", ".join(sorted(failed)))
 
 
+def report_document(tables: dict[str, DataFrame]) -> dict:
+    """Small tables as one document: those of one row as an object, others as a list, in the order of all their
+    values; ``failures`` names the checks that failed."""
+    document: dict = {}
+    for name, df in tables.items():
+        rows = [r.asDict() for r in df.collect()]  # a row per check, entity or frequent token
+        one = name in ("summary", "schedule_and_features", "duplicate_update_keys")
+        document[name] = rows[0] if one else sorted(rows, key=lambda r: (-(r.get("n_updates") or 0), *map(str, r.values())))
+    return document | {"failures": sorted(r["name"] for r in document.get("checks", []) if not r["passed"])}
+
+
 def eligible_prevalence(features: DataFrame, by: str) -> DataFrame:
     """Rows, positives and prevalence of eligible hours by an entity or calendar column."""
     return features.filter("is_eligible = 1").groupBy(by).agg(F.count(F.lit(1)).alias("n_hours"), _long(F.sum("label")).alias("n_positive"), F.avg(F.col("label").cast("double")).alias("prevalence")).orderBy(F.desc("prevalence"), by)
