@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hourgrid.functions import files
+from hourgrid.functions.sampling import hash_sample
 from hourgrid.functions.storage import materialise
+from hourgrid.operators import boosting as bo
+from hourgrid.operators import delays as de
 from hourgrid.operators import features as fe
 from hourgrid.operators import incidents as inc
 from hourgrid.operators import labels as lab
 from hourgrid.operators import metrics as me
+from hourgrid.operators import models as mo
 from hourgrid.operators import quality as qu
 from hourgrid.operators import schedules as sch
+from hourgrid.operators import scoring as sc
 from hourgrid.policy import Policy
 from hourgrid.sources import tables
 from hourgrid.sources.publish import Publication
@@ -43,6 +51,50 @@ def score_job(features: DataFrame) -> DataFrame:
     return me.chronological_split(materialise(me.baseline_scores(fe.model_rows(features))))
 
 
+#: Rows on which an exported model must give the fitted one's scores, and how near.
+PARITY_ROWS, PARITY = 500, 1e-5
+#: Columns of the profiles of a bundle, and of its reference what is set instead of a median.
+PROFILE = ("scheduled_departures", "history_hours", *[f"starts_prior_{k}h" for k in fe.SUMS], *[f"rate_prior_{n}" for n in fe.RATES], "hours_since_start")
+PINNED = {"month": 6, "weekday": 3, "hour_of_day": 8, "is_weekend": 0}
+
+
+def boosted_job(rows: DataFrame, settings: bo.Settings = bo.Settings()) -> bo.Boosted:
+    """Balanced boosted trees on the training rows of split model rows: their numbers, and a 0/1 column per
+    entity that occurs."""
+    train = mo.balanced_weights(rows.filter("split = 'train'"))
+    entities = [r["entity"] for r in train.select("entity").distinct().orderBy("entity").collect()]  # of the policy
+    return bo.fit_histogram(train, [*fe.NUMERIC, *[f"entity_{e}" for e in entities]], settings=settings)
+
+
+def exported_parity(rows: DataFrame, model: bo.Boosted, bundle: dict, keys: list[str]) -> DataFrame:
+    """Fitted against exported scores of :data:`PARITY_ROWS` rows, chosen by hash."""
+    some = hash_sample(rows, PARITY_ROWS, keys)
+    return sc.score_parity(bo.score_boosted(some, model), sc.score_trees(some, bundle), keys, PARITY)
+
+
+def export_model(rows: DataFrame, path: str, model: bo.Boosted | None = None) -> dict:
+    """Writes a boosted model of split model rows as one JSON document that needs no Spark to score: trees, the
+    threshold of best F1 on validation rows, reference and entity profiles of the training rows, and histograms of
+    test scores by label. Raises if the document, read again, doesn't give the model's scores."""
+    model = model or boosted_job(rows)
+    rows = rows.drop("score")
+    best = me.best_threshold(bo.score_boosted(rows.filter("split = 'val'"), model)).first()
+    train, test = rows.filter("split = 'train'"), rows.filter("split = 'test'")
+    bins = me.score_histogram(bo.score_boosted(test, model)).orderBy("bin").collect()  # 1000 rows
+    profiles = {r["entity"]: {c: r[c] for c in PROFILE} for r in de.entity_profiles(train, list(PROFILE)).collect()}  # entities of the policy
+    bundle = model.bundle() | {
+        "threshold": best["threshold"] if best else None, "numeric": list(fe.NUMERIC), "entities": sorted(profiles), "profiles": profiles,
+        "reference": de.reference_profile(train, list(fe.NUMERIC), PINNED).first().asDict(),
+        "test_scores": {"bins": len(bins), "positives": [r["pos"] for r in bins], "negatives": [r["neg"] for r in bins]},
+    }
+    read = json.loads(json.dumps(bundle))
+    parity = exported_parity(test, model, read, ["entity", "hour"]).first()
+    if not parity["passed"] and parity["n_rows"]:
+        raise ValueError(f"exported scores differ by {parity['max_difference']}")
+    files.write_text(rows.sparkSession, path, json.dumps(bundle, separators=(",", ":")))
+    return bundle
+
+
 #: The schedule made of the test tables names a line (L25) that their policy doesn't know.
 KNOWN_FAILURES = ("schedule_entities_mapped",)
 

@@ -1,23 +1,22 @@
 """Boosted trees for 0/1 labels by histograms, with a learned direction for missing values.
 
 Features are cut to bins once. Rows lie in blocks of a byte per feature; for each level of a tree
-tasks sum gradients per node, feature and bin over their blocks, sums of tasks are added and
-searched for splits by groups of features, and only the best split of each node and group comes to the
-driver. What goes between machines has the size of nodes x bins, whatever the number of rows.
+tasks sum gradients per node, feature and bin over their blocks, sums of tasks are added up, and
+the driver looks for the best split of each node. What goes between machines has the size of nodes x bins, whatever the number of rows.
 """
 
 from __future__ import annotations
 
 import heapq
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import StorageLevel, TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark import RDD, StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourgrid.functions import files
@@ -32,6 +31,8 @@ BLOCK = 1 << 16
 FEW = 1000
 #: Rounds after which the rows' scores are written, so that a job walks no more trees than that.
 REFRESH = 20
+#: Tasks' sums that one reducer adds up at once, and bytes of sums that may come to the driver for a level.
+FAN_IN, DRIVER_BYTES = 64, 32 << 20
 #: Gains within this share of the best count as equal; the first feature, then bin, is taken.
 EQUAL = 1e-9
 
@@ -40,10 +41,9 @@ EQUAL = 1e-9
 class Node:
     """Sums of gradients, hessians and rows, and the split if there is one: (gain, feature, bin, missing goes left)."""
 
-    depth: int
-    g: float
-    h: float
-    n: float
+    g: float = 0.0
+    h: float = 0.0
+    n: float = 0.0
     split: tuple[float, int, int, bool] | None = None
     left: int = 0
     right: int = 0
@@ -147,31 +147,34 @@ def histograms(bins: np.ndarray, slot: np.ndarray, g: np.ndarray, h: np.ndarray,
     return out
 
 
-def best_splits(sums: np.ndarray, settings: Settings) -> list[tuple[float, int, bool, float, float, float] | None]:
-    """For each slot of one feature's histogram the best split: (gain, bin, missing goes left, and the left side's
-    gradients, hessians and rows). Rows up to the bin go left; the last bin stands for missing values on the right
-    alone. Where no value is missing, missing ones will go to the larger side."""
-    g, h, n = sums
-    total = sums.sum(axis=2)
+def _score(g: np.ndarray, h: np.ndarray, l2: float) -> np.ndarray:
+    return g * g / (h + l2 + 1e-300)
+
+
+def best_splits(sums: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each slot of one feature's histogram the best split: gain (-inf if none is allowed), bin, whether missing values go left,
+    and the left side's gradients, hessians and rows. Rows up to the bin go left; the last bin stands for
+    missing values on the right alone. Where no value is missing, missing ones will go to the larger side."""
+    total, gone, slots = sums.sum(axis=2), sums[:, :, -1], np.arange(sums.shape[1])
     left = np.cumsum(sums[:, :, :-1], axis=2)
-    found: list = []
-    score = lambda a, b: a * a / (b + settings.l2 + 1e-300)
-    for s in range(g.shape[0]):
-        best = None
-        some = n[s, -1] > 0
-        for to_left in (False, True) if some else (None,):
-            part = left[:, s] + (sums[:, s, -1:] if to_left else 0)
-            part = part if some and not to_left else part[:, :-1]
-            rest = total[:, s, None] - part
-            ok = (part[2] >= settings.min_rows) & (rest[2] >= settings.min_rows) & (part[1] >= settings.min_hessian) & (rest[1] >= settings.min_hessian)
-            if not ok.any():
-                continue
-            gain = np.where(ok, score(part[0], part[1]) + score(rest[0], rest[1]) - score(total[0, s], total[1, s]), -np.inf)
-            at = int(np.argmax(gain >= gain.max() - EQUAL * abs(gain.max())))
-            if gain[at] > settings.min_gain and (best is None or gain[at] > best[0] * (1 + EQUAL)):
-                best = (float(gain[at]), at, bool(part[2, at] > rest[2, at]) if to_left is None else to_left, *map(float, part[:, at]))
-        found.append(best)
-    return found
+
+    def best(part: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        rest = total[:, :, None] - part
+        ok = allowed & (np.minimum(part[2], rest[2]) >= settings.min_rows) & (np.minimum(part[1], rest[1]) >= settings.min_hessian)
+        gain = _score(part[0], part[1], settings.l2) + _score(rest[0], rest[1], settings.l2) - _score(total[0], total[1], settings.l2)[:, None]
+        gain = np.where(ok, gain, -np.inf)
+        top = gain.max(axis=1)
+        at = np.argmax(gain >= np.where(np.isfinite(top), top - EQUAL * np.abs(top), top)[:, None], axis=1)
+        return gain[slots, at], at, part[:, slots, at]
+
+    some = gone[2] > 0
+    inner = np.arange(left.shape[2]) < left.shape[2] - 1
+    gain, at, part = best(left, inner | some[:, None])
+    gain2, at2, part2 = best(left + gone[:, :, None], inner & some[:, None])
+    other = gain2 > gain * (1 + EQUAL)
+    part = np.where(other, part2, part)
+    to_left = np.where(some, other, part[2] > total[2] - part[2])
+    return np.where(other, gain2, gain), np.where(other, at2, at), to_left, part.T
 
 
 def pruned(nodes: list[Node], settings: Settings) -> np.ndarray:
@@ -204,12 +207,14 @@ def _grown(nodes: list[Node]) -> np.ndarray:
 
 
 class _Blocks:
-    """The binned rows with their scores, in the shared folder and cached from there."""
+    """The binned rows with their scores: written to the shared folder, and cached from there as rows that
+    Python tasks take. Growing a tree is per-block arithmetic, a job per level, so jobs are RDD jobs: they
+    start several times faster than queries, and do nothing that a query planner could help with."""
 
     schema = "bins binary, y binary, w binary, raw binary"
 
-    def __init__(self, spark) -> None:
-        self.spark, self.path, self.df = spark, None, None
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path, self.df, self.rdd = spark, None, None, None
 
     def put(self, df: DataFrame) -> None:
         """Write a new state, then let the old one go."""
@@ -217,21 +222,18 @@ class _Blocks:
         df.write.parquet(path)
         self.drop()
         # As many partitions as tasks can run at once: each adds its blocks up before anything is sent.
-        rows = self.spark.read.schema(self.schema).parquet(path)
-        self.path, self.df = path, rows.coalesce(2 * self.spark.sparkContext.defaultParallelism).persist(StorageLevel.MEMORY_AND_DISK)
+        self.path, self.df = path, self.spark.read.schema(self.schema).parquet(path).coalesce(2 * self.spark.sparkContext.defaultParallelism)
+        self.rdd = self.df.rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
 
     def drop(self) -> None:
         if self.path is not None:
-            self.df.unpersist()
+            self.rdd.unpersist()
             files.delete(self.spark, self.path)
 
 
-def _block_rows(n_features: int):
-    def unpack(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        for bins, y, w, raw in zip(*[batch.column(i) for i in range(4)], strict=True):
-            yield np.frombuffer(bins.as_py(), np.uint8).reshape(-1, n_features), *(np.frombuffer(v.as_py(), np.float64) for v in (y, w, raw))
-
-    return unpack
+def _arrays(row: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bins (rows x features), labels, weights and scores of a block."""
+    return np.frombuffer(row[0], np.uint8).reshape(-1, k), *(np.frombuffer(v, np.float64) for v in row[1:])
 
 
 def _binned(rows: DataFrame, cuts: list[np.ndarray], baseline: float, block: int) -> DataFrame:
@@ -258,60 +260,71 @@ def _binned(rows: DataFrame, cuts: list[np.ndarray], baseline: float, block: int
 
 
 def _rescored(blocks: DataFrame, trees: list[np.ndarray], k: int) -> DataFrame:
-    unpack = _block_rows(k)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [raw_scores(bins, trees, start).tobytes() for bins, _, _, start in unpack(batch)]
+            rows = (_arrays(row, k) for row in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+            raw = [raw_scores(bins, trees, start).tobytes() for bins, _, _, start in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(raw, pa.binary())], ["bins", "y", "w", "raw"])
 
     return blocks.mapInArrow(run, _Blocks.schema)
 
 
-_SPLIT = "slot int, feature int, gain double, bin int, missing_left boolean, g double, h double, n double, all_g double, all_h double, all_n double"
+@dataclass(frozen=True)
+class Found:
+    """The best split of a node, ``feature`` -1 if there is none; sums of its left side and of the whole node."""
 
+    gain: float
+    feature: int
+    bin: int
+    missing_left: bool
+    left: list[float]
+    whole: list[float]
 
-def _level(blocks: DataFrame, recent: list[np.ndarray], tree: np.ndarray, open_: list[int], sizes: list[int], settings: Settings, groups: int) -> list:
-    """The best split of each open node among each group of features, with the node's own sums."""
-    k = len(sizes)
-    unpack = _block_rows(k)
+
+def _summed(parts: Iterable[tuple[int, np.ndarray]]) -> np.ndarray:
+    """Sums of tasks, added in the order of their blocks, so that the same blocks give the same tree."""
+    return sum(data for _, data in sorted(parts, key=lambda p: p[0]))
+
+
+def _level(blocks: RDD, recent: list[np.ndarray], tree: np.ndarray, open_: list[int], sizes: list[int], settings: Settings, groups: int) -> list[Found]:
+    """The best split of each open node.
+
+    What tasks have summed is added by groups of features, :data:`FAN_IN` tasks at a time, until what is left is at
+    most :data:`DRIVER_BYTES`; that comes to the driver, is added up there and searched."""
+    k, slots = len(sizes), len(open_)
     slot_of = np.full(len(tree), -1)
-    slot_of[open_] = np.arange(len(open_))
+    slot_of[open_] = np.arange(slots)
     own = [list(range(k))[i::groups] for i in range(groups)]
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sums(part: int, rows: Iterator[tuple]) -> Iterator[tuple]:
         total = None
-        for batch in batches:
-            for bins, y, w, start in unpack(batch):
-                p = 1 / (1 + np.exp(-raw_scores(bins, recent, start)))
-                made = histograms(bins, slot_of[walk(bins, tree)], w * (p - y), w * p * (1 - p), len(open_), sizes)
-                total = made if total is None else [a + b for a, b in zip(total, made, strict=True)]
-        if total is not None:
-            part = TaskContext.get().partitionId()
-            data = [np.concatenate([total[f].ravel() for f in fs]).tobytes() for fs in own]
-            yield pa.RecordBatch.from_arrays([pa.array(range(groups), pa.int32()), pa.array([part] * groups, pa.int32()), pa.array(data, pa.binary())], ["grp", "part", "data"])
-
-    def search(key: tuple, table: pa.Table) -> pa.Table:
-        fs = own[key[0].as_py()]
-        # Sums of tasks are added in the order of their blocks, so that the same blocks give the same tree.
-        ordered = sorted(zip(table["part"].to_pylist(), table["data"].to_pylist(), strict=True))
-        all_ = sum(np.frombuffer(d, np.float64) for _, d in ordered)
-        best: list = [None] * len(open_)
-        at = 0
-        for f in fs:
-            size = 3 * len(open_) * (sizes[f] + 1)
-            hist = all_[at : at + size].reshape(3, len(open_), sizes[f] + 1)
-            at += size
-            whole = hist.sum(axis=2)
-            for s, found in enumerate(best_splits(hist, settings)):
-                if best[s] is None or (found and found[0] > best[s][2] * (1 + EQUAL)):
-                    gain, b, missing, *left = found or (0.0, -1, False, 0.0, 0.0, 0.0)
-                    best[s] = (s, f, gain, b, missing, *left, *map(float, whole[:, s]))
-        kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.bool_(), *[pa.float64()] * 6]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*best, strict=True), kinds, strict=True)], [c.split()[0] for c in _SPLIT.split(", ")])
-
-    found = blocks.mapInArrow(sums, "grp int, part int, data binary").groupBy("grp").applyInArrow(search, _SPLIT)
-    return sorted(found.collect(), key=lambda r: (r.slot, r.feature))  # nodes x groups
+        for row in rows:
+            bins, y, w, start = _arrays(row, k)
+            p = 1 / (1 + np.exp(-raw_scores(bins, recent, start)))
+            made = histograms(bins, slot_of[walk(bins, tree)], w * (p - y), w * p * (1 - p), slots, sizes)
+            total = made if total is None else [a + b for a, b in zip(total, made, strict=True)]
+        for i, fs in enumerate(own if total is not None else []):
+            yield i, (part, np.concatenate([total[f].ravel() for f in fs]))
+
+    pairs, parts = blocks.mapPartitionsWithIndex(sums), blocks.getNumPartitions()
+    while parts > 1 and parts * 24 * slots * (sum(sizes) + k) > DRIVER_BYTES:
+        pairs = pairs.map(lambda p: ((p[0], p[1][0] // FAN_IN), p[1])).groupByKey().map(lambda p: (p[0][0], (p[0][1], _summed(p[1]))))
+        parts = -(-parts // FAN_IN)
+    by_group: dict[int, list] = {}
+    for i, part in pairs.collect():
+        by_group.setdefault(i, []).append(part)
+    hist: dict[int, np.ndarray] = {}
+    for i, fs in enumerate(own):
+        ends = np.cumsum([3 * slots * (sizes[f] + 1) for f in fs])
+        hist |= {f: h.reshape(3, slots, -1) for f, h in zip(fs, np.split(_summed(by_group[i]), ends[:-1]), strict=True)}
+    gain, feature, at, missing, left = np.full(slots, -np.inf), np.full(slots, -1), np.zeros(slots, int), np.zeros(slots, bool), np.zeros((slots, 3))
+    for f in range(k):
+        gain2, at2, missing2, left2 = best_splits(hist[f], settings)
+        better = (gain2 > settings.min_gain) & ((feature < 0) | (gain2 > gain * (1 + EQUAL)))
+        gain, feature, at, missing = (np.where(better, new, old) for new, old in ((gain2, gain), (f, feature), (at2, at), (missing2, missing)))
+        left = np.where(better[:, None], left2, left)
+    whole = hist[0].sum(axis=2).T
+    return [Found(*v) for v in zip(gain.tolist(), feature.tolist(), at.tolist(), missing.tolist(), left.tolist(), whole.tolist(), strict=True)]
 
 
 def fit_histogram(train: DataFrame, features: list[str], label: str = "label", weight: str | None = "weight", entity_col: str = "entity", settings: Settings = Settings(), bins: int = 255, block: int = BLOCK, groups: int = 8) -> Boosted:
@@ -339,19 +352,15 @@ def fit_histogram(train: DataFrame, features: list[str], label: str = "label", w
     recent: list[np.ndarray] = []
     try:
         for _ in range(settings.rounds):
-            nodes, open_ = [Node(0, 0.0, 0.0, 0.0)], [0]
-            for depth in range(settings.depth):
-                best: dict[int, object] = {}
-                for r in _level(blocks.df, recent, _grown(nodes), open_, sizes, settings, groups):
-                    if r.slot not in best or r.gain > best[r.slot].gain * (1 + EQUAL):
-                        best[r.slot] = r
+            nodes, open_ = [Node()], [0]
+            for _ in range(settings.depth):
                 after = []
-                for s, i in enumerate(open_):
-                    r, node = best[s], nodes[i]
-                    node.g, node.h, node.n = r.all_g, r.all_h, r.all_n
-                    if r.bin >= 0:
+                for i, r in zip(open_, _level(blocks.rdd, recent, _grown(nodes), open_, sizes, settings, groups), strict=True):
+                    node = nodes[i]
+                    node.g, node.h, node.n = r.whole
+                    if r.feature >= 0:
                         node.split, node.left, node.right = (r.gain, r.feature, r.bin, r.missing_left), len(nodes), len(nodes) + 1
-                        nodes += [Node(depth + 1, r.g, r.h, r.n), Node(depth + 1, r.all_g - r.g, r.all_h - r.h, r.all_n - r.n)]
+                        nodes += [Node(*r.left), Node(*(a - b for a, b in zip(r.whole, r.left, strict=True)))]
                         after += [node.left, node.right]
                 # A node with too few rows for two sides can't split.
                 open_ = [i for i in after if nodes[i].n >= 2 * settings.min_rows]

@@ -1,5 +1,6 @@
 """Histogram boosting against a brute-force search for splits; exported trees against the fitted ones."""
 
+import datetime
 import json
 import math
 
@@ -7,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hourgrid.operators import boosting, metrics, scoring
+from hourgrid.jobs import workloads
+from hourgrid.operators import boosting, features, metrics, scoring
 from hourgrid.operators.boosting import Settings, best_splits, bin_cuts, fit_histogram, score_boosted
 
 SMALL = Settings(rounds=4, depth=4, max_leaves=9, min_rows=6)
@@ -111,6 +113,9 @@ def test_scores_are_written_in_between(spark, monkeypatch):
     whole = fit_histogram(df, NAMES, settings=settings)
     monkeypatch.setattr(boosting, "REFRESH", 2)
     alike(fit_histogram(df, NAMES, settings=settings), whole)
+    # Sums of tasks added up two at a time, by groups of features.
+    monkeypatch.setattr(boosting, "FAN_IN", 2)
+    monkeypatch.setattr(boosting, "DRIVER_BYTES", 0)
     alike(fit_histogram(df.repartition(9, "id"), NAMES, settings=settings, block=16), whole)
 
 
@@ -135,8 +140,8 @@ def test_a_split_of_missing_values_alone():
     """Values all alike, missing ones apart: the last bin keeps all values left."""
     sums = np.zeros((3, 1, 2))
     sums[:, 0, 0], sums[:, 0, 1] = (30.0, 10.0, 40), (-20.0, 8.0, 30)
-    gain, at, to_left, g, h, n = best_splits(sums, SMALL)[0]
-    assert (at, to_left, g, h, n) == (0, False, 30.0, 10.0, 40.0) and gain == pytest.approx(90 + 50 - 100 / 18)
+    gain, at, to_left, left = (v[0] for v in best_splits(sums, SMALL))
+    assert (at, to_left, *left) == (0, False, 30.0, 10.0, 40.0) and gain == pytest.approx(90 + 50 - 100 / 18)
 
 
 def test_little_to_learn_from(spark):
@@ -157,3 +162,26 @@ def test_it_learns_and_leaves_no_tables(spark):
     got = metrics.ranking_metrics(score_boosted(df.filter("id % 3 = 0"), model)).first()
     assert got.roc_auc > 0.8 and max(len(t) for t in model.trees) <= 61
     assert set(boosting.files.names(spark, boosting.shared_folder(spark))) == before
+
+
+def test_a_model_is_exported_and_read_again(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    cols = [*features.NUMERIC]
+    rows = [(f"L{i % 3}", datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=i), int(rng.random() < 0.3), ["train", "val", "test"][min(i // 400, 2)], *[None if rng.random() < 0.1 else float(rng.integers(0, 50)) for _ in cols]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "entity string, hour timestamp_ntz, label int, split string, " + ", ".join(f"{c} double" for c in cols))
+    model = workloads.boosted_job(df, Settings(rounds=6))
+    bundle = workloads.export_model(df, f"{tmp_path}/bundle.json", model)
+    read = json.loads((tmp_path / "bundle.json").read_text())
+    assert read == json.loads(json.dumps(bundle)) and read["entities"] == ["L0", "L1", "L2"] and len(read["trees"]) == 6
+    test = df.filter("split = 'test'")
+    got = {(r.entity, r.hour): r.score for r in scoring.score_trees(test, read).collect()}
+    assert got == pytest.approx({(r.entity, r.hour): r.score for r in score_boosted(test, model).collect()}, abs=1e-12)
+    assert sum(read["test_scores"]["positives"]) + sum(read["test_scores"]["negatives"]) == test.count()
+    assert read["reference"]["month"] == 6 and 0.05 <= read["threshold"] <= 0.95
+    own = [r[4 + cols.index("history_hours")] for r in rows if r[0] == "L1" and r[3] == "train"]
+    assert read["profiles"]["L1"]["history_hours"] == np.median([v for v in own if v is not None])
+    with pytest.raises(ValueError, match="differ"):
+        broken = boosting.Boosted(model.features, model.cuts, model.baseline, model.trees)
+        broken.bundle = lambda: model.bundle() | {"baseline": 1.0}
+        workloads.export_model(df, f"{tmp_path}/other.json", broken)
+    assert not (tmp_path / "other.json").exists()
