@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a side of a join is broadcast after it has been counted.
+BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,3 +30,9 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has been counted to have at most ``rows`` rows (of bounded
+    width), else unchanged, so that the join shuffles. To be given tables that are written."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourgrid.functions.quantiles import exact_quantiles
+from hourgrid.functions.quantiles import exact_quantiles, grouped_medians
 
 
 def delay_rows(running: DataFrame) -> DataFrame:
@@ -60,14 +60,18 @@ def correlation_matrix(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def reference_profile(train: DataFrame, cols: list[str], pinned: dict[str, float], approx: bool = False) -> DataFrame:
-    """One row of medians, some columns pinned to a value. ``approx`` trades exactness for
-    bounded memory where a column has very many distinct values."""
-    median = (lambda c: F.percentile_approx(c, 0.5)) if approx else F.median
-    return train.agg(*[(F.lit(float(pinned[c])) if c in pinned else median(F.col(c)).cast("double")).alias(c) for c in cols])
+    """One row of medians, some columns pinned to a value. Exact, by brackets that no task orders many
+    values of; ``approx`` reads the rows once and keeps sketches instead."""
+    free = [c for c in cols if c not in pinned]
+    if approx:
+        medians = train.agg(F.lit(0).alias("__one"), *[F.percentile_approx(c, 0.5).cast("double").alias(c) for c in free])
+    else:
+        medians = grouped_medians(train, [], {c: F.col(c) for c in free})
+    return medians.select(*[F.lit(float(pinned[c])).alias(c) if c in pinned else F.col(c) for c in cols])
 
 
 def entity_profiles(train: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
-    """Medians of ``cols`` per entity. A task keeps the distinct values of each column of an
-    entity: for trailing sums and rates their frames bound these, for others use ``approx``."""
-    median = (lambda c: F.percentile_approx(c, 0.5)) if approx else F.median
-    return train.groupBy("entity").agg(*[median(F.col(c)).cast("double").alias(c) for c in cols])
+    """Medians of ``cols`` per entity, exact as in :func:`reference_profile`, or from sketches (``approx``)."""
+    if approx:
+        return train.groupBy("entity").agg(*[F.percentile_approx(c, 0.5).cast("double").alias(c) for c in cols])
+    return grouped_medians(train, ["entity"], {c: F.col(c) for c in cols})
