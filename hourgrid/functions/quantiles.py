@@ -41,13 +41,12 @@ def _values_at(counts: DataFrame, places: DataFrame, one_task: int) -> DataFrame
     part, want = counts.withColumn("b", F.lit(0).cast("long")), places.select("k", "c", F.lit(0).cast("long").alias("b"), "place", F.col("place").alias("left"))
     while True:
         big = part.groupBy(*_CELL).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > one_task).select(*_CELL)
-        big = materialise(big)
         if not big.limit(1).count():
             break
-        part, want = _refined(part, want, big)
+        part, want = _refined(part, want, materialise(big))
     upto = F.sum("n").over(Window.partitionBy(*_CELL).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))  # one_task rows at most
     ordered = part.withColumn("upto", upto)
-    found = ordered.join(small(want), _CELL).filter((F.col("left") < F.col("upto")) & (F.col("left") >= F.col("upto") - F.col("n")))
+    found = ordered.join(want, _CELL).filter((F.col("left") < F.col("upto")) & (F.col("left") >= F.col("upto") - F.col("n")))
     return found.select("k", "c", "place", "v")
 
 
@@ -64,10 +63,10 @@ def _between(counts: DataFrame, probs: list[float], one_task: int) -> DataFrame:
     asked = counts.groupBy("k", "c").agg(F.sum("n").alias("rows")).withColumn("p", F.explode(F.lit([float(p) for p in probs])))
     at = F.col("p") * (F.col("rows") - 1)
     asked = materialise(asked.select("k", "c", "p", at.alias("at"), F.floor(at).alias("lo"), F.ceil(at).alias("hi")))
-    places = asked.select("k", "c", F.explode(F.array("lo", "hi")).alias("place")).distinct()
-    found = materialise(_values_at(counts, places, one_task))
-    low, high = (found.select("k", "c", F.col("place").alias(n), F.col("v").alias(f"v_{n}")) for n in ("lo", "hi"))
-    both = asked.join(low, ["k", "c", "lo"]).join(high, ["k", "c", "hi"])
+    places = asked.select("*", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("place"))
+    found = places.join(_values_at(counts, places.select("k", "c", "place").distinct(), one_task), ["k", "c", "place"])
+    low, high = (F.max(F.when(F.col("place") == F.col(n), F.col("v"))).alias(f"v_{n}") for n in ("lo", "hi"))
+    both = found.groupBy("k", "c", "p", "at", "lo", "hi").agg(low, high)
     mixed = (F.col("hi") - F.col("at")) * F.col("v_lo") + (F.col("at") - F.col("lo")) * F.col("v_hi")
     return both.select("k", "c", "p", F.when(F.col("v_lo") == F.col("v_hi"), F.col("v_lo")).otherwise(mixed).alias("value"))
 
