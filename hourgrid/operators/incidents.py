@@ -5,12 +5,20 @@ numbers, the planned flag and the first start."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourgrid.functions.columns import entities_of, fold_alias, has_any, pipe_tokens
+from hourgrid.functions.frames import running_in_order, running_in_ranges
+from hourgrid.functions.storage import materialise, small
 from hourgrid.policy import Policy
 
+#: Updates from which an event's series is dealt to several tasks.
+HOT_ROWS = 1_000_000
+
 
 def normalize_updates(updates: DataFrame) -> DataFrame:
     """Adds the trimmed lower-case agency and status, and the trimmed affected cell."""
@@ -35,14 +43,41 @@ def unmapped_entities(tokens: DataFrame, policy: Policy, id_col: str = "update_i
     return folded.join(known, folded["__e"] == known["entity"], "left_anti").select(id_col, "token")
 
 
-def event_instances(updates: DataFrame) -> DataFrame:
-    """Adds ``instance_seq``, the running count of revision 0 per event in order of time and
-    id, and ``instance_id`` as event:seq. Updates before any revision 0 have 0."""
-    order = Window.partitionBy("event_id").orderBy("published_at", "update_id").rowsBetween(Window.unboundedPreceding, 0)
-    df = updates.withColumn("instance_seq", F.sum(F.when(F.col("revision") == 0, 1).otherwise(0)).over(order))
+def hot_events(updates: DataFrame, hot_rows: int = HOT_ROWS) -> tuple[DataFrame, int] | None:
+    """(``event_id``) of events with more than ``hot_rows`` updates, and their updates' number; None if there are
+    none, as in any table of no more rows than that, which is counted first. A hot event's series is dealt to several
+    tasks."""
+    if updates.count() <= hot_rows:
+        return None
+    hot = materialise(updates.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot_rows))
+    n = hot.agg(F.sum("n")).first()[0]
+    return (hot.select("event_id"), n) if n else None
+
+
+def _by_heat(updates: DataFrame, hot_rows: int, plain: Callable[[DataFrame], DataFrame], spread: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """``plain`` for the updates of ordinary events, ``spread`` (rows, number of ranges) for those of hot ones."""
+    found = hot_events(updates, hot_rows)
+    if found is None:
+        return plain(updates)
+    hot, n = found
+    cold, warm = (updates.join(small(hot), "event_id", how).select(*updates.columns) for how in ("left_anti", "left_semi"))
+    # Two ranges at least for each hot_rows: an event with so many is never whole in one.
+    return plain(cold).unionByName(spread(warm, 2 * -(-n // hot_rows)))
+
+
+def _numbered(df: DataFrame, run: Callable[[DataFrame, list[str], list[str], dict], DataFrame]) -> DataFrame:
+    starts = df.withColumn("__starts", F.when(F.col("revision") == 0, 1).otherwise(0))
+    df = run(starts, ["event_id"], ["published_at", "update_id"], {"instance_seq": ("sum", "__starts")}).drop("__starts")
     return df.withColumn("instance_id", F.concat_ws(":", F.col("event_id").cast("string"), F.col("instance_seq").cast("string")))
 
 
+def event_instances(updates: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Adds ``instance_seq``, the running count of revision 0 per event in order of time and
+    id, and ``instance_id`` as event:seq. Updates before any revision 0 have 0. Events of more than ``hot_rows`` updates are
+    counted in ranges of time by several tasks."""
+    return _by_heat(updates, hot_rows, lambda df: _numbered(df, running_in_order), lambda df, bins: _numbered(df, partial(running_in_ranges, bins=bins)))
+
+
 def flag_updates(updates: DataFrame, policy: Policy) -> DataFrame:
     """Adds 0/1 ``is_planned`` and ``is_significant`` from the status tokens; updates without
     tokens have 0."""
@@ -50,16 +85,25 @@ def flag_updates(updates: DataFrame, policy: Policy) -> DataFrame:
     return updates.withColumns({"is_planned": has_any(tokens, policy.planned).cast("int"), "is_significant": has_any(tokens, policy.significant).cast("int")})
 
 
+def _planned(flagged: DataFrame, run: Callable[[DataFrame, list[str], list[str], dict], DataFrame]) -> DataFrame:
+    return run(flagged, ["event_id", "instance_seq"], ["published_at", "revision", "update_id"], {"planned_so_far": ("max", "is_planned")})
+
+
 def planned_so_far(flagged: DataFrame) -> DataFrame:
     """Adds 0/1 ``planned_so_far``: whether this or an earlier update of the instance, in order
     of time, revision and id, is planned. Distributed by event, as instance numbers are."""
-    order = Window.partitionBy("event_id", "instance_seq").orderBy("published_at", "revision", "update_id").rowsBetween(Window.unboundedPreceding, 0)
-    return flagged.withColumn("planned_so_far", F.max("is_planned").over(order))
+    return _planned(flagged, running_in_order)
+
+
+def timeline(updates: DataFrame, policy: Policy, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Updates with instance, flags and the planned flag so far; see :func:`event_instances` on hot events, whose
+    planned flags run in ranges too."""
 
+    def spread(df: DataFrame, bins: int) -> DataFrame:
+        run = partial(running_in_ranges, bins=bins)
+        return _planned(flag_updates(_numbered(df, run), policy), run)
 
-def timeline(updates: DataFrame, policy: Policy) -> DataFrame:
-    """Updates with instance, flags and the planned flag so far."""
-    return planned_so_far(flag_updates(event_instances(updates), policy))
+    return _by_heat(updates, hot_rows, lambda df: planned_so_far(flag_updates(_numbered(df, running_in_order), policy)), spread)
 
 
 def qualifying_updates(lines: DataFrame, policy: Policy) -> DataFrame:

@@ -92,11 +92,10 @@ def pr_curve(scores: DataFrame) -> DataFrame:
     """(place, threshold, precision, recall) per distinct score in ascending order, and the end
     point of recall 0 and precision 1."""
     groups = score_groups(scores).withColumn("one", F.lit(1))
-    down = running_totals(groups, "p", ["pos", "neg"], descending=True)
-    df = running_totals(down, "p", ["one"])
+    df = running_totals(groups, "p", ["pos", "neg", "one"], descending=True)
     total = groups.agg(F.sum("pos").alias("n_pos"), F.count(F.lit(1)).alias("n_all")).withColumn("__k", F.lit(1))  # one row
     df = df.withColumn("__k", F.lit(1)).join(F.broadcast(total), "__k")
-    points = df.select((F.col("cum_one") - 1).alias("place"), F.col("p").alias("threshold"), (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"), F.coalesce(F.try_divide("cum_pos", "n_pos"), F.lit(1.0)).alias("recall"))
+    points = df.select((F.col("n_all") - F.col("cum_one")).alias("place"), F.col("p").alias("threshold"), (F.col("cum_pos") / (F.col("cum_pos") + F.col("cum_neg"))).alias("precision"), F.coalesce(F.try_divide("cum_pos", "n_pos"), F.lit(1.0)).alias("recall"))
     end = total.select(F.col("n_all").alias("place"), F.lit(None).cast("double").alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"))
     return points.unionByName(end)
 
