@@ -186,6 +186,8 @@ def oracle_sql(bundle: dict) -> dict[str, str]:
         "d14_reference_profile": _sql(_SCORED, "SELECT 6.0::DOUBLE AS month, 3.0::DOUBLE AS weekday, 8.0::DOUBLE AS hour_of_day, 0.0::DOUBLE AS is_weekend, " + ", ".join(f"median({c}::DOUBLE) AS {c}" for c in profile) + " FROM scored_filled WHERE split = 'train'", "scored_filled AS (SELECT * REPLACE (coalesce(hours_since_start, 0.0) AS hours_since_start, coalesce(rate_prior_7d, 0.0) AS rate_prior_7d, coalesce(rate_prior_30d, 0.0) AS rate_prior_30d) FROM scored)"),
         "d15_entity_profiles": _sql(_SCORED, "SELECT entity, " + ", ".join(f"median({c}::DOUBLE) AS {c}" for c in profile) + " FROM scored_filled WHERE split = 'train' GROUP BY entity", "scored_filled AS (SELECT * REPLACE (coalesce(hours_since_start, 0.0) AS hours_since_start, coalesce(rate_prior_7d, 0.0) AS rate_prior_7d, coalesce(rate_prior_30d, 0.0) AS rate_prior_30d) FROM scored)"),
         "m17_tree_scores": _sql(_FEAT, f"SELECT entity, hour, round({_tree_sql(bundle)}, 9) AS score FROM feat"),
+        "s5_continued_snapshot": _sql(["ev", "u"], "SELECT count(*) AS n_rows, max(update_id) AS cutoff_id, count(DISTINCT event_id) AS n_events, count(*) AS manifest_rows, 2::INT AS parts FROM u"),
+        "m18_fitted_parity": _sql(_SCORED, "SELECT least(count(*), 500) AS n_rows, true AS passed FROM scored WHERE split = 'test'"),
         "m18_score_parity": _sql(_FEAT, "SELECT count(*) AS n_rows, true AS passed FROM feat"),
         "d18_mean_delay": _sql(["rt", "delays", "clip"], "SELECT line, round(avg(delay_min), 9) AS mean_delay, count(*) AS n_rows FROM clip GROUP BY line"),
         "d19_describe_target": _sql(["rt", "delays", "clip"], "SELECT count(*) AS n_rows, round(avg(delay_min), 7) AS mean, round(stddev(delay_min), 7) AS std, round(min(delay_min), 7) AS min, round(quantile_cont(delay_min, 0.25), 7) AS q25, round(quantile_cont(delay_min, 0.5), 7) AS median, round(quantile_cont(delay_min, 0.75), 7) AS q75, round(max(delay_min), 7) AS max FROM clip"),

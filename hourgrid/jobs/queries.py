@@ -120,6 +120,17 @@ def s5_snapshot(s, d):
     return up.snapshot(u, "update_id", after=100, limit=500, scope=F.col("agency") == "events").select("update_id", "event_id", "published_at")
 
 
+@query
+def s5_continued_snapshot(s, d):
+    """A snapshot taken in two increments, the first up to half of the largest id, read back, and its manifest."""
+    u, path = tables.updates(s, d), f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    half = u.agg(F.max("update_id")).first()[0] // 2
+    up.continue_snapshot(u, path, "update_id", cutoff=half)
+    manifest = up.continue_snapshot(u, path, "update_id")
+    rows = up.read_snapshot(s, path)
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.max("update_id").alias("cutoff_id"), F.countDistinct("event_id").alias("n_events"), F.lit(manifest["n_rows"]).cast("long").alias("manifest_rows"), F.lit(manifest["parts"]).alias("parts"))
+
+
 @query
 def s6_snapshot_manifest(s, d):
     u = up.snapshot(tables.updates(s, d), "update_id", after=100)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourgrid.functions.columns import entities_of, has_any, hour_floor, pipe_tokens, stable_rank
+from hourgrid.functions.storage import materialise
 from hourgrid.policy import Policy
 
 POSITIVE, PLANNED, OTHER = "included_positive", "excluded_as_planned", "excluded_nonqualifying_status"
@@ -45,13 +48,19 @@ def quotas(n: int) -> dict[str, int]:
 
 
 def review_sample(candidates: DataFrame, n: int, strict: bool = True) -> DataFrame:
-    """The first rows of each stratum in the order of a stable hash, by quota. Each stratum is
-    a bounded top-k, so no stratum is sorted as a whole. ``strict`` raises on short strata."""
+    """The first rows of each stratum in the order of a stable hash, by quota. Candidates are
+    read once: every task keeps the largest quota of each stratum before anything is shuffled (Spark does so for quotas of
+    up to ``spark.sql.optimizer.windowGroupLimitThreshold``, 1000). ``strict`` raises on short strata."""
+    quota = quotas(n)
     ranked = candidates.withColumn("order_key", stable_rank(F.col("stratum"), F.col("instance_id"), F.col("entity")))
-    parts = [ranked.filter(F.col("stratum") == s).orderBy("order_key").limit(k) for s, k in quotas(n).items()]
-    sample = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    if strict and (found := sample.count()) < n:
-        raise ValueError(f"{found} rows for a sample of {n}")
+    ranked = ranked.withColumn("__place", F.row_number().over(Window.partitionBy("stratum").orderBy("order_key")))
+    own = reduce(lambda case, s: case.when(F.col("stratum") == s, F.lit(quota[s])), list(quota)[1:], F.when(F.col("stratum") == POSITIVE, F.lit(quota[POSITIVE])))
+    # The fixed bound is what is applied before the shuffle, the stratum's own after it.
+    sample = ranked.filter(F.col("__place") <= max(quota.values())).filter(F.col("__place") <= own).drop("__place")
+    if strict:
+        sample = materialise(sample)
+        if (found := sample.count()) < n:
+            raise ValueError(f"{found} rows for a sample of {n}")
     return sample
 
 

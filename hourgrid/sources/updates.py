@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hourgrid.functions import files
 from hourgrid.functions.columns import blank_to_null, naive_timestamp, strip, whole_number
 
 #: Columns of a raw update file.
@@ -100,6 +103,63 @@ def fingerprint(df: DataFrame, cols: list[str] | None = None) -> list[Column]:
     return [F.count(F.lit(1)).alias("n_rows"), F.bit_xor(h).alias("hash_xor"), F.sum(h.cast("decimal(38,0)")).alias("hash_sum")]
 
 
+def _hash_sum(total: int) -> int:
+    """A sum of 64-bit hashes as a decimal of 38 digits holds it, whatever the number of rows."""
+    return total % (1 << 120)
+
+
+def continue_snapshot(df: DataFrame, path: str, id_col: str, cutoff: int | None = None, scope: Column | None = None, expected: int | None = None) -> dict:
+    """Brings a stored snapshot of ``df`` up to ``cutoff`` (default: the largest id of the scope), and returns its manifest.
+
+    The folder holds parts, one for each run, and a manifest beside each: rows, cutoff and fingerprint of all parts so far, which add up from
+    those before and the new rows. Only ids after the last cutoff are read and written. A part counts from when its
+    manifest is there; what a killed run left is written anew.
+
+    Raises BadRows, and leaves the snapshot as it was, if the source has another number of rows up to the cutoff
+    than ``expected`` (default: as it counts itself now) or than the snapshot would hold: rows are missing, or came or went
+    below the last cutoff. The first run makes the folder; without new rows nothing is written."""
+    spark = df.sparkSession
+    rows = df if scope is None else df.filter(scope)
+    old = read_snapshot_manifest(spark, path)
+    after = -(1 << 63) if old is None else old["cutoff_id"]
+    if cutoff is None:
+        cutoff = rows.agg(F.max(id_col)).first()[0]
+    if cutoff is None or cutoff <= after:
+        if old is None:
+            raise BadRows("the source has no rows")
+        return old
+    at_source = rows.filter(F.col(id_col) <= F.lit(cutoff)).count()
+    wanted = at_source if expected is None else expected
+    part = 0 if old is None else old["parts"]
+    new = rows.filter((F.col(id_col) > F.lit(after)) & (F.col(id_col) <= F.lit(cutoff)))
+    new.write.mode("overwrite").parquet(f"{path}/part-{part}")
+    got = spark.read.schema(new.schema).parquet(f"{path}/part-{part}").agg(*fingerprint(new)).first()
+    held = old or {"n_rows": 0, "hash_xor": 0, "hash_sum": 0}
+    manifest = {
+        "n_rows": held["n_rows"] + got["n_rows"], "hash_xor": held["hash_xor"] ^ (got["hash_xor"] or 0), "hash_sum": _hash_sum(held["hash_sum"] + int(got["hash_sum"] or 0)),
+        "cutoff_id": cutoff, "parts": part + 1, "columns": df.columns,
+    }
+    if manifest["n_rows"] != wanted or at_source != wanted:
+        files.delete(spark, f"{path}/part-{part}")
+        raise BadRows(f"{wanted} rows expected up to {cutoff}, {at_source} at the source, {manifest['n_rows']} in the snapshot")
+    files.write_text(spark, f"{path}/manifest-{part}.json", json.dumps(manifest, sort_keys=True))
+    return manifest
+
+
+def read_snapshot_manifest(spark: SparkSession, path: str) -> dict | None:
+    """The manifest of the last finished part; None if there is none."""
+    found = [int(n.removeprefix("manifest-").removesuffix(".json")) for n in files.names(spark, path) if n.startswith("manifest-")]
+    return json.loads(files.read_text(spark, f"{path}/manifest-{max(found)}.json")) if found else None
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of all finished parts."""
+    manifest = read_snapshot_manifest(spark, path)
+    if manifest is None:
+        raise BadRows(f"no snapshot in {path}")
+    return spark.read.parquet(*[f"{path}/part-{i}" for i in range(manifest["parts"])])
+
+
 def snapshot_manifest(df: DataFrame, id_col: str, time_col: str, source_rows: int | None = None) -> DataFrame:
     """One row: rows, cutoff id, latest time, rows at the source, whether the snapshot was
     limited, columns and the content's fingerprint."""
@@ -113,8 +173,25 @@ def schedule_manifest(schedule: DataFrame) -> DataFrame:
     return schedule.groupBy("dataset_year", "dataset_id").agg(F.count(F.lit(1)).alias("n_rows"), F.min("service_date").alias("min_date"), F.max("service_date").alias("max_date"))
 
 
-def read_running_times(spark: SparkSession, source: str, options: dict[str, str] | None = None) -> DataFrame:
-    """Running-time rows from Parquet, or over JDBC if ``options`` are given. Rows without
-    scheduled or actual time, or with an empty line, are left out; the source filters."""
-    df = spark.read.format("jdbc").options(url=source, **options).load() if options else spark.read.parquet(source)
+def jdbc_options(spark: SparkSession, url: str, table: str, column: str, partitions: int, options: dict[str, str] | None = None) -> dict[str, str]:
+    """Options of a JDBC read in ``partitions`` ranges of a numeric, date or time ``column``, between its least and largest
+    value at the source. Ranges have equal widths; rows without a value are in the first. An empty table is one range."""
+    base = {"url": url, **(options or {})}
+    name = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(column)
+    ends = spark.read.format("jdbc").options(**base, query=f"SELECT MIN({name}) AS lo, MAX({name}) AS hi FROM {table}").load().first()
+    if ends[0] is None or partitions < 2:
+        return base | {"dbtable": table}
+    return base | {"dbtable": table, "partitionColumn": column, "lowerBound": str(ends[0]), "upperBound": str(ends[1]), "numPartitions": str(partitions)}
+
+
+def read_running_times(spark: SparkSession, source: str, options: dict[str, str] | None = None, partition_column: str | None = None, partitions: int = 8) -> DataFrame:
+    """Running-time rows from Parquet, or over JDBC (``source`` is the URL) if ``options`` are given. Rows without
+    scheduled or actual time, or with an empty line, are left out; the source filters.
+
+    With ``partition_column``, ``options`` name a ``dbtable`` that is read by several tasks at once, each a range of that column."""
+    if options and partition_column:
+        rest = {k: v for k, v in options.items() if k != "dbtable"}
+        df = spark.read.format("jdbc").options(**jdbc_options(spark, source, options["dbtable"], partition_column, partitions, rest)).load()
+    else:
+        df = spark.read.format("jdbc").options(url=source, **options).load() if options else spark.read.parquet(source)
     return df.filter("avg_scheduled_runtime is not null and avg_actual_runtime is not null and line <> ''")
