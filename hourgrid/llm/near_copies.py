@@ -81,9 +81,10 @@ def link_texts(some: DataFrame, similarity: float = 0.8) -> DataFrame:
     often = every.groupBy("__t").agg(F.count(F.lit(1)).alias("__df")).filter("__df > 1")
     ordered = every.join(often, "__t").groupBy("__k", "__n").agg(F.sort_array(F.collect_list(F.struct("__df", "__t"))).alias("__l"), F.avg(F.log("__df")).alias("__w"))
     sets = ordered.select("__k", "__n", F.size("__l").alias("__c"), (F.col("__w") * F.size("__l") / F.col("__n")).alias("__w"), F.col("__l.__t").alias("__s"))
-    sets = materialise(sets.filter(F.col("__c") >= _least(F.col("__n"), similarity)))
+    # Bitmaps are made once a text; behind the explode below they would be made once a row.
+    sets = materialise(sets.filter(F.col("__c") >= _least(F.col("__n"), similarity)).withColumn("__bits", bitmap("__s")))
     rare = F.slice("__s", 1, F.col("__c") - _least(F.col("__n"), similarity) + 1)
-    groups = materialise(sets.select("__k", "__n", "__c", "__w", bitmap("__s").alias("__bits"), F.posexplode(rare).alias("__at", "__t")))
+    groups = materialise(sets.select("__k", "__n", "__c", "__w", "__bits", F.posexplode(rare).alias("__at", "__t")))
     # Round one: everyone against the most common member of the group.
     heads = groups.groupBy("__t").agg(F.max(F.struct("__w", "__k", "__n", "__c", "__at", "__bits")).alias("__h"), F.count(F.lit(1)).alias("__m")).filter("__m > 1")
     heads = small(materialise(heads.select("__t", F.col("__h.__k").alias("a"), F.col("__h.__n").alias("__n2"), F.col("__h.__c").alias("__c2"), F.col("__h.__at").alias("__at2"), F.col("__h.__bits").alias("__bits2"))))
