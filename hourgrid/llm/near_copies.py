@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from hourgrid.llm.simhash import link_prints, prints_of, shingle_hashes
 SALTS = 8
 #: Prefixes are longer than the bound asks by one shingle in so many, and more than one must be shared.
 MORE = 16
+#: Members of a large group that one task compares with the whole group.
+BLOCK = 1000
 #: Words of 64 bits in the bitmap of a shingle set.
 BITMAP = 8
 
@@ -64,6 +68,27 @@ def _possible(similarity: float) -> Column:
     return (rest >= need) & ((F.col("__c") + F.col("__c2") - differ) / 2 >= need)
 
 
+def _open_pairs(named: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (``__k`` < ``b``) of members of one group that lie in different components (``__r``) and can be similar.
+
+    Shingles that just the same texts hold make the same pairs, so of such groups the one of the first shingle is
+    taken: shingles of one passage that many texts share are one group. Only texts of near enough numbers of
+    shingles meet, and large groups are dealt to blocks of :data:`BLOCK` members, each of which meets the whole
+    group in a task of its own."""
+    same = [F.bit_xor(F.xxhash64("__k", F.lit(i))) for i in range(2)]
+    groups = named.groupBy("__t").agg(F.min("__r").alias("__lo"), F.max("__r").alias("__hi"), F.count(F.lit(1)).alias("__m"), same[0].alias("__x"), same[1].alias("__y"), F.sum(F.col("__at").cast("long")).alias("__p"))
+    # Members hold the shingles in one order, so the least sum of places is that of the first.
+    open_ = groups.filter("__lo < __hi").groupBy("__m", "__x", "__y").agg(F.min_by("__t", "__p").alias("__t")).select("__t", "__m")
+    named = materialise(named.join(small(materialise(open_)), "__t"))
+    # Similar texts have numbers of shingles within a factor of 1 / similarity: the same band or the next one.
+    band = F.floor(F.log(F.col("__n")) / F.lit(-math.log(similarity))).cast("int")
+    blocks = F.ceil(F.col("__m") / BLOCK).cast("int")
+    left = named.withColumns({"__band": band, "__block": F.pmod(F.xxhash64("__k"), blocks).cast("int")})
+    right = named.withColumn("__band", F.explode(F.array(*[band + i for i in (-1, 0, 1)]))).withColumn("__block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    right = right.select("__t", "__band", "__block", F.col("__k").alias("b"), F.col("__r").alias("__r2"), F.col("__n").alias("__n2"), F.col("__c").alias("__c2"), F.col("__at").alias("__at2"), F.col("__bits").alias("__bits2"))
+    return left.join(right, ["__t", "__band", "__block"]).filter((F.col("__k") < F.col("b")) & (F.col("__r") != F.col("__r2")) & _possible(similarity))
+
+
 def link_texts(some: DataFrame, similarity: float = 0.8) -> DataFrame:
     """Links (a < b) between texts whose shingle sets have a Jaccard similarity of at least
     ``similarity``; the components of the links are those of all such pairs.
@@ -94,10 +119,7 @@ def link_texts(some: DataFrame, similarity: float = 0.8) -> DataFrame:
     # Round two: what round one left in different components of one group.
     roots = components(links).select(F.col("node").alias("__k"), F.col("root").alias("__r"))
     named = groups.join(roots, "__k", "left").withColumn("__r", F.coalesce("__r", "__k"))
-    open_ = named.groupBy("__t").agg(F.min("__r").alias("__lo"), F.max("__r").alias("__hi")).filter("__lo < __hi").select("__t")
-    named = materialise(named.join(small(materialise(open_)), "__t", "left_semi"))
-    other = named.select("__t", F.col("__k").alias("b"), F.col("__r").alias("__r2"), F.col("__n").alias("__n2"), F.col("__c").alias("__c2"), F.col("__at").alias("__at2"), F.col("__bits").alias("__bits2"))
-    met = named.join(other, "__t").filter((F.col("__k") < F.col("b")) & (F.col("__r") != F.col("__r2")) & possible)
+    met = _open_pairs(named, similarity)
     rest = materialise(met.select(F.col("__k").alias("a"), "b").distinct())
     return links.union(_confirm(rest, sets, similarity))
 

@@ -78,3 +78,24 @@ def test_near_copies_edge_rows(spark):
     assert kept.columns == df.columns
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 4), (False, 5), (False, 6), (True, 0)]
     assert near_copies.drop_near_copies(frame(spark, [])).count() == 0
+
+
+def test_texts_put_together_of_shared_passages(spark, monkeypatch):
+    """Many texts share each passage, few share enough of them; large groups are dealt to blocks."""
+    rng = random.Random(12)
+    passages = [" ".join(f"p{p}w{rng.randrange(10**6)}" for _ in range(30)) for p in range(9)]
+    rows = [(i, " ".join(rng.sample(passages, rng.choice([4, 5, 6])))) for i in range(260)]
+    rows += [(300 + i, t + " and a few words more") for i, (_, t) in enumerate(rows[:30])]
+    monkeypatch.setattr(near_copies, "BLOCK", 7)
+    kept = near_copies.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert sorted(r.doc_id for r in kept.collect()) == brute_copies(rows)
+
+
+def test_groups_of_the_same_texts_are_one(spark):
+    """Twenty shingles that just the same texts hold give one group's pairs, those of the first shingle."""
+    named = [(k, 100, 100, 0.0, [0] * near_copies.BITMAP, at, 50 + at, k) for k in range(6) for at in range(20)]
+    named += [(k, 100, 100, 0.0, [0] * near_copies.BITMAP, 20, 90, k) for k in range(3)]
+    df = spark.createDataFrame(named, "__k long, __n int, __c int, __w double, __bits array<long>, __at int, __t long, __r long")
+    pairs = near_copies._open_pairs(df, 0.8).select("__t", "__k", "b", "__at").collect()
+    first = [(r["__k"], r.b) for r in pairs if r["__t"] == 50]
+    assert sorted(first) == [(i, j) for i in range(6) for j in range(i + 1, 6)] and {r["__t"] for r in pairs} <= {50, 90} and len(pairs) == 15
