@@ -37,6 +37,17 @@ PROSE_CHARS, LEFT_OUT = 25, 0.05
 SIDE_WORDS = re.compile(
     r"^(ads?|adverts?|adverti[sz]ements?|adverti[sz]ing|sponsors?|sponsored|promos?|promotions?|promoted|banners?|navs?|navbar|navmenu|navlinks|menus?|menubar|breadcrumbs?|sidebars?|aside|foot|footers?|header|masthead|topbar|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|subscribe|newsletter|signup|login|share|sharing|social|related|recommended|recommendations?|trending|widgets?|pagination|pager|comments?|commentlist|disqus|replies|respond|search|complementary|navigation|contentinfo)$"
 )
+#: Of these, words that mark surroundings whatever is written in them; others, such as related or alert, may
+#: name a part of an article if it holds prose.
+ALWAYS = re.compile(
+    r"^(ads?|adverts?|adverti[sz]ements?|adverti[sz]ing|sponsors?|sponsored|promos?|promotions?|promoted|navs?|navbar|navmenu|navlinks|menus?|menubar|breadcrumbs?|sidebars?|footers?|masthead|topbar|cookies?|consent|gdpr|popup|modal|overlay|subscribe|newsletter|signup|login|pagination|pager|comments?|commentlist|disqus|replies|respond|complementary|navigation|contentinfo)$"
+)
+#: Words of layout. A name of a side word and any other word, such as related-work, may be a topic.
+LAYOUT = frozenset("area article bar block body bottom box button buttons card center col column container content form group icon icons inner item items left link links list main module outer page panel post posts right row section side site text title top view wrap wrapper widget".split())
+#: Marks of a node: none, a name that may be a topic, a bare side word, and what is always left out.
+TOPIC, WORD, APART_MARK = 1, 2, 3
+#: Characters outside links that make an element prose, and the share of these that its links may have.
+PROSE_PART, LINK_SHARE = 120, 0.25
 #: What a start tag closes before it opens, up to an element that shields.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"thead", "tbody", "tfoot", "tr", "td", "th"}, "option": {"option"}}
 SHIELDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "option": {"select"}}
@@ -52,10 +63,15 @@ class Node:
     """An element. ``key`` stands for its path of names, ``p`` for the open paragraph around it,
     ``near`` for the outermost open element, by tag of ``CLOSES``, that this tag would close."""
 
-    __slots__ = ("tag", "name", "side", "parts", "parent", "key", "p", "near")
+    __slots__ = ("tag", "name", "mark", "side", "parts", "parent", "key", "p", "near", "story")
 
-    def __init__(self, tag: str, name: str, side: bool, parent: Node | None) -> None:
-        self.tag, self.name, self.side, self.parent = tag, name, side, parent
+    def __init__(self, tag: str, name: str, mark: int, parent: Node | None) -> None:
+        self.tag, self.name, self.mark, self.parent = tag, name, mark, parent
+        # Whether an article or main is around it; such a header is the article's own.
+        self.story = parent is not None and (parent.story or parent.tag in ("article", "main"))
+        if tag == "header" and self.story and mark == APART_MARK and name == "header":
+            self.mark = 0
+        self.side = self.mark > 0
         self.parts: list[Node | str] = []
         self.key = hash((parent.key, name)) if parent else 0
         self.p = self if tag == "p" else parent.p if parent and tag not in P_SHIELDS else None
@@ -93,32 +109,59 @@ def path_key(path: str) -> int:
 NOT_SIDE = frozenset("has with no not is open closed enabled on off".split())
 
 
-def _side_word(word: str) -> bool:
+def _side_word(word: str) -> int:
+    """The mark that a word of class, id or role gives."""
     parts = re.split(r"[-_]+", word)
-    return not {parts[0], parts[-1]} & NOT_SIDE and any(SIDE_WORDS.match(p) for p in parts)
+    hits = [p for p in parts if SIDE_WORDS.match(p)]
+    if not hits or {parts[0], parts[-1]} & NOT_SIDE:
+        return 0
+    if any(p not in LAYOUT and not p.isdigit() and p not in hits for p in parts):
+        return TOPIC
+    return APART_MARK if any(map(ALWAYS.match, hits)) else WORD
 
 
-def _marks(tag: str, attrs: str) -> tuple[str, bool]:
-    """(generalised name: tag and classes without digits, whether it stands beside the main text)."""
-    side, classes = tag in APART, ""
+def _marks(tag: str, attrs: str) -> tuple[str, int]:
+    """(generalised name: tag and classes without digits, mark)."""
+    mark, classes = APART_MARK if tag in APART else 0, ""
     for key, *values in _ATTR.findall(attrs) if attrs else ():
         key = key.lower()
         if key == "hidden":
-            side = True
+            mark = APART_MARK
         if key not in ("class", "id", "role"):
             continue
         words = unescape(next((v for v in values if v), "")).lower().split()
         if key == "class":
             classes = "".join(sorted({"." + re.sub(r"\d+", "#", w).replace(">", "_") for w in words}))
-        side = side or tag not in ("html", "body", "article", "main") and not (key == "id" and (tag == "p" or tag in HEADINGS)) and any(map(_side_word, words))
-    return tag + classes, side
+        if mark < APART_MARK and tag not in ("html", "body", "article", "main") and not (key == "id" and (tag == "p" or tag in HEADINGS)):
+            mark = max([mark, *map(_side_word, words)])
+    return tag + classes, mark
+
+
+def _settle(root: Node) -> None:
+    """Elements that only a word marks stay if they hold prose with few links: those that may be topics anywhere, those of a bare
+    side word inside an article or main. Inner elements are judged first."""
+    order: list[tuple[Node, bool]] = [(root, False)]
+    for node, linked in order:
+        linked = linked or node.tag == "a"
+        order += [(part, linked) for part in node.parts if not isinstance(part, str) and part.mark < APART_MARK]
+    plain: dict[int, tuple[int, int, int]] = {}  # characters outside links, in links, of the longest run outside
+    for node, linked in reversed(order):
+        own = [len(part.strip()) for part in node.parts if isinstance(part, str)]
+        sums = [sum(own), 0, max(own, default=0)] if not (linked or node.tag == "a") else [0, sum(own), 0]
+        for part in node.parts:
+            if not isinstance(part, str) and not part.side:
+                a, b, c = plain[id(part)]
+                sums = [sums[0] + a, sums[1] + b, max(sums[2], c)]
+        plain[id(node)] = tuple(sums)
+        if node.mark == TOPIC or node.mark == WORD and node.story:
+            node.side = not (sums[0] >= PROSE_PART and sums[2] >= PROSE_CHARS and sums[1] <= LINK_SHARE * sums[0])
 
 
 def parse(html: str) -> Node:
     """A lenient tree of a page: unclosed and misnested tags are closed as their kind asks. Time
     and memory grow with the page's length, whatever stands in it."""
-    root = here = Node("", "", False, None)
-    at, n = 0, len(html)
+    root = here = Node("", "", 0, None)
+    at, n, doubtful = 0, len(html), False
     opened: Counter[str] = Counter()
     raw_ends: dict[str, re.Pattern] = {}
 
@@ -158,8 +201,9 @@ def parse(html: str) -> Node:
             here = leave(here.p)
         if tag in CLOSES and here.near.get(tag) is not None:
             here = leave(here.near[tag])
-        name, side = _marks(tag, m["attrs"])
-        node = Node(tag, name, side, here)
+        name, mark = _marks(tag, m["attrs"])
+        node = Node(tag, name, mark, here)
+        doubtful = doubtful or node.mark in (TOPIC, WORD)
         here.parts.append(node)
         if tag in RAW:
             if tag not in raw_ends:
@@ -172,6 +216,8 @@ def parse(html: str) -> Node:
             opened[tag] += 1
     if at < n:
         here.parts.append(html[at:])
+    if doubtful:
+        _settle(root)
     return root
 
 
@@ -258,14 +304,34 @@ def containers(root: Node) -> list[Container]:
     return found
 
 
+def _adds_article(inner: Container, outer: Container) -> bool:
+    """Whether what ``outer`` holds besides ``inner`` is text of the same article: running text or a heading, and few
+    links. A page's body may hold anything."""
+    if outer.node.tag == "body":
+        return False
+    plain = linked = longest = headings = 0
+    stack: list[tuple[Node, bool]] = [(outer.node, False)]
+    while stack:
+        node, within = stack.pop()
+        if node is inner.node or node.side:
+            continue
+        within = within or node.tag == "a"
+        sizes = [len(part.strip()) for part in node.parts if isinstance(part, str)]
+        plain, linked = (plain, linked + sum(sizes)) if within else (plain + sum(sizes), linked)
+        longest = max([longest, *sizes]) if not within else longest
+        headings += node.tag in HEADINGS
+        stack += [(part, within) for part in node.parts if not isinstance(part, str)]
+    return (longest >= PROSE_CHARS or headings > 0) and linked <= LINK_SHARE * plain
+
+
 def widen(best: Container, all_: list[Container]) -> Container:
     """The lowest container around ``best`` that leaves out less than ``LEFT_OUT`` of the page's
-    running text: an article may be laid out as several unlike containers. An article or main
-    element that holds most of it is one as it is."""
+    running text, and then those around it that add nothing but text of the same article: an article may be laid out as several
+    unlike containers. An article or main element that holds most of it is one as it is."""
     total = sum(c.prose for c in all_ if c.above < 0)
     around = best
-    while around.prose < (1 - LEFT_OUT) * total and around.above >= 0:
-        if around.bonus > 1 and 2 * around.prose >= total:
+    while around.above >= 0 and not (around.bonus > 1 and 2 * around.prose >= total):
+        if around.prose >= (1 - LEFT_OUT) * total and not _adds_article(around, all_[around.above]):
             break
         around = all_[around.above]
     return around
@@ -278,14 +344,14 @@ def best_of(all_: list[Container]) -> Container | None:
 
 def main_text(root: Node, path: str | None = None) -> str:
     """Blocks of the containers at ``path``, in page order; of the page's own best one if there
-    are none, or if they hold less than half of its running text."""
+    are none, or if they lack any of its running text."""
     all_ = containers(root)
     best = best_of(all_)
     if best is None:
         return "\n".join(blocks(root))
     key = path_key(path) if path is not None else None
     chosen = [c for c in all_ if c.node.key == key]
-    if not chosen or 2 * sum(c.prose for c in chosen) < best.prose or 10 * sum(c.score for c in chosen) < best.score:
+    if not chosen or sum(c.prose for c in chosen) < best.prose:
         chosen = [best]
     return "\n".join(b for c in chosen for b in blocks(c.node))
 
@@ -323,11 +389,13 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     classes, digits dropped). Votes are summed per host and path before and after the
     shuffle, so a large host is a few rows; the path with most votes wins (of equals the
     first by code points). Pages are then extracted by their host's path; one on which it
-    is missing, or holds less than half of the running text, goes by its own best.
+    is missing, or lacks some of the running text of its own best, goes by the latter.
 
     Blocks of the text are joined by line feeds; white space inside a block is one blank;
     menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader
-    comments are left out by element and by words in class, id and role.
+    comments are left out by element and by words in class, id and role. An element that such a word marks stays
+    if it holds prose with few links and its name may be a topic (related-work), or if it is inside an article and the
+    word isn't one of :data:`ALWAYS`. An article's own header stays.
 
     Defined cases: null html is empty and gives ''; pages without a host vote together; a
     page without containers gives all its text; long pages are read whole, in time and
