@@ -196,6 +196,24 @@ def oracle_sql(bundle: dict) -> dict[str, str]:
     }
     names = ["number_of_stops", "distance", "scheduled_trains", "avg_scheduled_runtime", "month", "delay_min"]
     cells = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 8) AS r FROM clip" if a != b else f"SELECT '{a}' AS a, '{b}' AS b, 1.0::DOUBLE AS r" for a in names for b in names)
+    split = """SELECT clip.*, CASE WHEN month_date <= c THEN 'train' ELSE 'test' END AS split FROM clip, (SELECT month_date AS c FROM (SELECT month_date, row_number() OVER (ORDER BY month_date) - 1 AS i, count(*) OVER () AS n FROM clip)
+      WHERE i = round_even((n - 1) * 0.8::DOUBLE, 0)::BIGINT)"""
+    kinds = ("line", "direction", "time_period", "schedule_day_type")
+    levels = " + ".join(f"(SELECT count(DISTINCT {c}) FROM model_rows WHERE split = 'train')" for c in kinds)
+    hits = " + ".join(f"CASE WHEN {c} IN (SELECT {c} FROM model_rows WHERE split = 'train') THEN 1 ELSE 0 END" for c in kinds)
+    q["m3_design_matrix"] = _sql(["rt", "delays", "clip"], f"SELECT split, count(*) AS n_rows, ({levels} + 5)::INT AS n_columns, round(sum(number_of_stops + distance + scheduled_trains + avg_scheduled_runtime + month + {hits}), 3) AS total FROM model_rows GROUP BY split", f"model_rows AS ({split})")
+    # Least squares by Gauss-Jordan on the normal equations, the first level of each category left out.
+    ones = ", ".join(f"list_transform((SELECT list(DISTINCT {c} ORDER BY {c}) FROM model_rows WHERE split = 'train')[2:], lambda v: ({c} = v)::DOUBLE)" for c in kinds)
+    line = f"""model_rows AS ({split}), x AS (SELECT line, split, delay_min AS y, flatten([[1.0::DOUBLE], {ones}, [number_of_stops::DOUBLE, distance, scheduled_trains, avg_scheduled_runtime, month]]) AS x FROM model_rows),
+      k AS (SELECT max(len(x)) AS k FROM x),
+      cells AS (SELECT i, j, sum(x[i] * CASE WHEN j > k THEN y ELSE x[j] END) AS v FROM x, k, (SELECT unnest(range(1, k + 1)) AS i FROM k), (SELECT unnest(range(1, k + 2)) AS j FROM k) WHERE split = 'train' GROUP BY i, j),
+      m AS (SELECT list(row ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS row FROM cells GROUP BY i)),
+      solved AS (SELECT 0 AS i, m FROM m UNION ALL SELECT i + 1, list_transform(m, lambda row, r: CASE WHEN r = i + 1 THEN list_transform(row, lambda v: v / row[i + 1]) ELSE list_transform(row, lambda v, c: v - row[i + 1] * m[i + 1][c] / m[i + 1][i + 1]) END) FROM solved, k WHERE i < k),
+      beta AS (SELECT list_transform(m, lambda row: row[-1]) AS beta FROM solved, k WHERE i = k),
+      judged AS (SELECT line, y, y - list_sum(list_transform(range(1, k + 1), lambda j: x[j] * beta[j])) AS residual FROM x, k, beta WHERE split = 'test')"""
+    fitted = lambda body: "WITH RECURSIVE " + _sql(["rt", "delays", "clip"], body, line).removeprefix("WITH ")
+    q["m20_linear_regression"] = fitted("SELECT round(1 - sum(residual * residual) / (var_pop(y) * count(*)), 6) AS r2, round(avg(abs(residual)), 6) AS mae, round(sqrt(avg(residual * residual)), 6) AS rmse FROM judged")
+    q["p19_residuals"] = fitted("SELECT line, count(*) AS n_rows, round(avg(residual), 6) AS mean_residual FROM judged GROUP BY line")
     q["d21_correlation_matrix"] = _sql(["rt", "delays", "clip"], cells)
     summary = """SELECT n_updates, n_events, n_instances, min_published, max_published, n_starts, n_grid_rows, n_hours, n_positive, n_assigned, n_unmapped, n_positive / n_grid_rows AS prevalence FROM
       (SELECT count(*) AS n_updates, count(DISTINCT event_id) AS n_events, count(DISTINCT instance_id) AS n_instances, min(published_at) AS min_published, max(published_at) AS max_published FROM inst),

@@ -657,14 +657,14 @@ def m20_linear_regression(s, d):
     df, sums, line = _line(s, d)
     _, r2, rmse = li.judged(sums, [li.TEST], line)
     test = de.residuals(li.predicted(df.filter("split = 'test'"), line, sums.levels, NUMBERS))
-    return test.agg(F.lit(r2).alias("r2"), F.avg(F.abs("residual")).alias("mae"), F.lit(rmse).alias("rmse"))
+    return test.agg(F.round(F.lit(r2), 6).alias("r2"), F.round(F.avg(F.abs("residual")), 6).alias("mae"), F.round(F.lit(rmse), 6).alias("rmse"))
 
 
 @query
 def p19_residuals(s, d):
     df, sums, line = _line(s, d)
     rows = de.residuals(li.predicted(df.filter("split = 'test'"), line, sums.levels, NUMBERS))
-    return rows.groupBy("line").agg(F.count(F.lit(1)).alias("n_rows"), F.avg("residual").alias("mean_residual"))
+    return rows.groupBy("line").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("residual"), 6).alias("mean_residual"))
 
 
 @query
