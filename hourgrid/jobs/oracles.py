@@ -134,6 +134,9 @@ def oracle_sql(bundle: dict) -> dict[str, str]:
         "p10_calendar": _sql([*_BASE, "bounds", "hours", "ent", "grid"], "SELECT DISTINCT * EXCLUDE (entity) FROM grid"),
         "p11_date_keys": _sql(_BASE, "SELECT published_at::DATE::VARCHAR AS day, strftime(published_at, '%Y-%m') AS month, date_trunc('hour', published_at)::TIMESTAMP AS hour, count(*) AS n_updates FROM u GROUP BY 1, 2, 3"),
         "p16_stable_ranks": _sql(_STARTS, "SELECT instance_id, entity, sha256('included_positive|' || instance_id || '|' || entity) AS order_key FROM starts"),
+        "s13_running_time_rows": _sql(["rt"], "SELECT l_orderkey, l_linenumber, line, round(avg_actual_runtime, 6) AS avg_actual_runtime FROM rt WHERE avg_scheduled_runtime IS NOT NULL AND avg_actual_runtime IS NOT NULL AND line <> ''"),
+        "p17_delay_of_rows": _sql(["rt", "delays"], "SELECT l_orderkey, l_linenumber, year, month, round(delay_min, 6) AS delay_min FROM delays"),
+        "p18_clipped_rows": _sql(["rt", "delays", "clip"], "SELECT l_orderkey, l_linenumber, round(delay_min, 6) AS delay_min FROM clip"),
         "p17_delay_rows": _sql(["rt", "delays"], "SELECT line, year, month, count(*) AS n_rows, round(sum(delay_min), 6) AS delay_min FROM delays GROUP BY ALL"),
         "p18_clipped_delays": _sql(["rt", "delays", "clip"], "SELECT line, count(*) AS n_rows FROM clip GROUP BY line"),
         "e1_event_instances": _sql([*_BASE, "inst"], "SELECT update_id, event_id, instance_seq, instance_id FROM inst"),

@@ -170,6 +170,13 @@ def s13_running_times(s, d):
     return up.read_running_times(s, source).groupBy("line").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+@query
+def s13_running_time_rows(s, d):
+    source = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    tables.running_times(s, d).write.parquet(source)
+    return up.read_running_times(s, source).select("l_orderkey", "l_linenumber", "line", F.round("avg_actual_runtime", 6).alias("avg_actual_runtime"))
+
+
 @query
 def s14_model_rows(s, d):
     return fe.model_rows(_features(s, d)).select("entity", "hour", "scheduled_departures", "rate_prior_30d", "hours_since_start", "label")
@@ -239,6 +246,16 @@ def p17_delay_rows(s, d):
     return de.delay_rows(tables.running_times(s, d)).groupBy("line", "year", "month").agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("delay_min"), 6).alias("delay_min"))
 
 
+@query
+def p17_delay_of_rows(s, d):
+    return de.delay_rows(tables.running_times(s, d)).select("l_orderkey", "l_linenumber", "year", "month", F.round("delay_min", 6).alias("delay_min"))
+
+
+@query
+def p18_clipped_rows(s, d):
+    return _delays(s, d).select("l_orderkey", "l_linenumber", F.round("delay_min", 6).alias("delay_min"))
+
+
 @query
 def p18_clipped_delays(s, d):
     return _delays(s, d).groupBy("line").agg(F.count(F.lit(1)).alias("n_rows"))

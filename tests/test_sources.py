@@ -4,6 +4,7 @@ import os
 import random
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from hourgrid.functions import files
@@ -107,3 +108,23 @@ def test_the_sample_is_kept_before_the_shuffle(spark):
         ranked = cands.filter(F.col("stratum") == s).withColumn("order_key", review.stable_rank(F.col("stratum"), F.col("instance_id"), F.col("entity")))
         want += [(r.stratum, r.instance_id, r.entity) for r in ranked.orderBy("order_key").limit(k).collect()]
     assert sorted(got) == sorted(want) and len(got) == 20 + 10 + 3
+
+
+def test_fingerprints_match_a_plain_computation(spark):
+    """XXH64 of the columns in turn, each seeded by the one before; nulls leave the seed as it is."""
+    rows = [(1, "one", None), (2, "zwei é", 5), (-3, None, 7), (1 << 40, "", 0), (2, "zwei é", 5)]
+    df = spark.createDataFrame(rows, "id long, t string, n int")
+
+    def hashed(row):
+        h = 42
+        for value, size in zip(row, (8, 0, 4)):
+            if value is not None:
+                h = xxhash.xxh64(value.encode() if size == 0 else (value % (1 << 8 * size)).to_bytes(size, "little"), seed=h).intdigest()
+        return h - (1 << 64) if h >> 63 else h
+
+    values = [hashed(r) for r in rows]
+    xor = 0
+    for v in values:
+        xor ^= v
+    got = df.agg(*up.fingerprint(df)).first()
+    assert (got.n_rows, got.hash_xor, int(got.hash_sum)) == (5, xor, sum(values))
