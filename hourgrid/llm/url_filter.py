@@ -41,7 +41,7 @@ ALLOWED = (
 )
 #: How a site's name is made of a word, and where such sites are; both kinds of words go through all in turn.
 _NAMES = ("{}", "{}-{f}", "{f}-{}", "{}{f}")
-_FILLERS = ("online", "best", "x", "cheap", "hub", "win", "free", "my", "world", "shop", "farm", "24", "city")
+_FILLERS = ("online", "best", "hub", "top", "my", "world", "shop", "24", "city", "club", "pro")
 _PREFIXES, _ZONES = ("", "www.", "blog.", "m.", ""), ("org", "net", "com", "example.org", "example.net", "example.com", "info")
 _PATHS = ("/en/10482", "/de/2291.html", "/fr/771/", "/es/31337?page=2", "/en/553#top", "/", "/2021/05/title.html", "/index.html", "/en/88?utm_source=feed")
 
