@@ -23,7 +23,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Defined cases: a null or empty text is one empty line and yields ''; rows of one
     ``id_col`` are one document when documents are counted (null is one id); repeated
     rows stay, each with the same result; an empty table gives an empty table; a text
-    whose lines all go becomes ''.
+    whose lines all go becomes ''; very long texts are taken whole, a row in one task;
+    other columns are kept as they are.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.withColumn("__rk", row_key(F.col(id_col), F.col(text_col)))

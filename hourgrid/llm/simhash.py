@@ -219,7 +219,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Defined cases: null and empty texts have fingerprint 0 and are linked like any other;
     null ids have no part in the least id, and a component of null ids only has a null
-    id; repeated rows stay; an empty table gives an empty table.
+    id; repeated rows stay; an empty table gives an empty table; very long texts are taken
+    whole; other columns are left out, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("__id"), row_key(F.col(id_col), F.col(text_col)).alias("__rk"), F.col(text_col).alias("__t"))
     rows = materialise(fingerprints(rows, ["__id", "__rk"], "__t", shingle))
