@@ -16,6 +16,7 @@ from hourgrid.jobs import workloads as work
 from hourgrid.operators import boosting as bo
 from hourgrid.operators import delays as de
 from hourgrid.operators import features as fe
+from hourgrid.operators import forest as fo
 from hourgrid.operators import incidents as inc
 from hourgrid.operators import labels as lab
 from hourgrid.operators import linear as li
@@ -643,7 +644,9 @@ def m2_nearest_split(s, d):
 
 
 def _model_rows(s, d):
-    return materialise(me.nearest_split(_delays(s, d), "month_date").select(*CATEGORIES, *NUMBERS, "delay_min", "month_date", "l_orderkey", "l_linenumber", "split").dropna())
+    """Orders and line items are joined once; cuts and splits read what is written."""
+    rows = materialise(de.delay_rows(tables.running_times(s, d)).select(*CATEGORIES, *NUMBERS, "delay_min", "month_date", "l_orderkey", "l_linenumber"))
+    return me.nearest_split(de.clip_quantile(rows, "delay_min"), "month_date").dropna(subset=rows.columns)
 
 
 def _regressions(s, d):
@@ -701,6 +704,7 @@ def m21_cross_validated_r2(s, d):
 @query
 def m22_forest_against_linear(s, d):
     """A forest of 300 trees of depth 5 beside the linear model."""
-    train, test = _regressions(s, d)
-    models = {"linear": mo.fit_linear(train, CATEGORIES, NUMBERS, "delay_min"), "forest": mo.fit_forest(train, CATEGORIES, NUMBERS, "delay_min")}
-    return mo.compare_models(models, test, "delay_min")
+    df, sums, line = _line(s, d)
+    forest = fo.fit_forest(df.filter("split = 'train'"), sums.levels, NUMBERS, "delay_min")
+    models = {"linear": lambda rows: li.predicted(rows, line, sums.levels, NUMBERS), "forest": forest.transform}
+    return mo.compare_models(models, df.filter("split = 'test'"), "delay_min")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -9,12 +10,14 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourgrid.functions.sampling import hash_sample
+from hourgrid.operators import forest
+from hourgrid.operators.linear import category_levels
 from hourgrid.operators.metrics import ranking_metrics
 
 #: Rows that permutation importance looks at, at most; they are chosen by hash.
@@ -98,8 +101,9 @@ def fit_linear(train: DataFrame, categories: list[str], numbers: list[str], targ
     return Pipeline(stages=[*design_stages(categories, numbers, scale=True), LinearRegression(featuresCol="x", labelCol=target, solver="normal")]).fit(train)
 
 
-def fit_forest(train: DataFrame, categories: list[str], numbers: list[str], target: str, trees: int = 300) -> PipelineModel:
-    return Pipeline(stages=[*design_stages(categories, numbers), RandomForestRegressor(featuresCol="x", labelCol=target, numTrees=trees, seed=42)]).fit(train)
+def fit_forest(train: DataFrame, categories: list[str], numbers: list[str], target: str, trees: int = 300) -> forest.Forest:
+    """Spark's own forest keeps a count per tree with each row, 1.2 KB a row for 300 trees, so this one is by histograms."""
+    return forest.fit_forest(train, category_levels(train, categories), numbers, target, trees)
 
 
 def input_names(model: PipelineModel, df: DataFrame) -> list[str]:
@@ -108,14 +112,27 @@ def input_names(model: PipelineModel, df: DataFrame) -> list[str]:
     return [a["name"] for a in sorted((a for kind in attrs.values() for a in kind), key=lambda a: a["idx"])]
 
 
+def _errors(target: str, prediction: str) -> list[Column]:
+    y, miss = F.col(target).cast("double"), F.col(target) - F.col(prediction)
+    known = F.when(miss.isNotNull(), y)
+    return [F.count(known), F.var_pop(known) * F.count(known), F.sum(miss * miss), F.sum(F.abs(miss))]
+
+
+def _metrics(n: int, spread: float, square: float, absolute: float) -> tuple[float, float, float]:
+    if not n:
+        return (math.nan,) * 3
+    return (1 - square / spread if spread > 0 else math.nan), absolute / n, math.sqrt(square / n)
+
+
 def regression_metrics(predicted: DataFrame, target: str) -> DataFrame:
-    """One row: R2, MAE and RMSE of column ``prediction``."""
-    values = [RegressionEvaluator(labelCol=target, metricName=m).evaluate(predicted) for m in ("r2", "mae", "rmse")]
-    return predicted.sparkSession.createDataFrame([tuple(values)], "r2 double, mae double, rmse double")
+    """One row: R2, MAE and RMSE of column ``prediction``; rows without it or the target are left out, NaN if none are left."""
+    return predicted.sparkSession.createDataFrame([_metrics(*predicted.agg(*_errors(target, "prediction")).first())], "r2 double, mae double, rmse double")
 
 
-def coefficients(model: PipelineModel, df: DataFrame) -> DataFrame:
+def coefficients(model: PipelineModel | forest.Forest, df: DataFrame) -> DataFrame:
     """(feature, value): coefficients of a linear model or importances of a forest."""
+    if isinstance(model, forest.Forest):
+        return df.sparkSession.createDataFrame(list(model.importances().items()), "feature string, value double")
     last = model.stages[-1]
     values = (last.coefficients if hasattr(last, "coefficients") else last.featureImportances).toArray()
     return df.sparkSession.createDataFrame([(n, float(v)) for n, v in zip(input_names(model, df), values, strict=True)], "feature string, value double")
@@ -132,10 +149,11 @@ def cv_r2(train: DataFrame, categories: list[str], numbers: list[str], target: s
     return train.sparkSession.createDataFrame(out, "fold int, r2 double")
 
 
-def compare_models(models: dict[str, PipelineModel], test: DataFrame, target: str) -> DataFrame:
-    """Metrics of several regressions side by side."""
-    parts = [regression_metrics(m.transform(test), target).withColumn("model", F.lit(n)) for n, m in models.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("model", "r2", "mae", "rmse")
+def compare_models(models: dict[str, PipelineModel | forest.Forest | Callable[[DataFrame], DataFrame]], test: DataFrame, target: str) -> DataFrame:
+    """Metrics of several regressions side by side, as in :func:`regression_metrics`, from one scan. A model is fitted, or a function that adds ``prediction``."""
+    rows, sums = test, []
+    for i, add in enumerate(models.values()):
+        rows = getattr(add, "transform", add)(rows).select(*rows.columns, F.col("prediction").alias(f"__p{i}"))
+        sums += _errors(target, f"__p{i}")
+    got = rows.agg(*sums).first()  # four numbers a model
+    return test.sparkSession.createDataFrame([(n, *_metrics(*got[4 * i : 4 * i + 4])) for i, n in enumerate(models)], "model string, r2 double, mae double, rmse double")
